@@ -170,7 +170,7 @@ def daily_update(
     else:
         observed = correlation.price_observations(bars, tickers)
         fresh = correlation.return_correlations(observed, min_observations, min_abs_correlation)
-        edges = correlation.replace_edges(current("edges", correlation.empty_edges(spark)), fresh, tickers or (), stocks=known)
+        edges = correlation.replace_edges(current("edges", correlation.empty_edges(spark)), fresh, observed, stocks=known)
         done.correlation_rows = store("edges", edges).count()
     source = None
     if bars is not None and known is not None:
