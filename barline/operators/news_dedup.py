@@ -5,7 +5,7 @@ an earlier kept article of the same ticker and date has a matching title. That i
 first-come independent set of a conflict graph, so it can be settled in rounds:
 
 1. articles equal in (ticker, URL, date, title words) fold into their first one by a partial
-   aggregate, so copies never travel;
+   aggregate, so copies never travel (those with neither URL nor title words stay as they are);
 2. every round takes the first `block` undecided articles of each (ticker, date) and settles
    them in one bounded task; an article whose URL has an earlier undecided holder waits;
 3. the newly kept articles then strike later ones, by an equi-join on (ticker, URL) and, only
@@ -161,10 +161,12 @@ def kept_nodes(
     keys: DataFrame, threshold: float = TITLE_SIMILARITY, block: int = BLOCK
 ) -> DataFrame:
     """Surviving (ticker, node) pairs; a node may appear under several tickers."""
+    # without URL and title words nothing can match, so every such article stays
+    blank = (F.col("url") == "") & (F.size("words") == 0)
     open_rows = cut_lineage(
-        keys.groupBy("ticker", "day", "url", "words").agg(F.min("node").alias("node"))
+        keys.where(~blank).groupBy("ticker", "day", "url", "words").agg(F.min("node").alias("node"))
     )
-    kept_parts = []
+    kept_parts = [keys.where(blank).select("ticker", "node")]
     while not open_rows.isEmpty():
         first_holder = (
             open_rows.where("url <> ''").groupBy("ticker", "url").agg(F.min("node").alias("holder"))
@@ -195,8 +197,6 @@ def kept_nodes(
             struck = _title_strikes(on_crowded, kept, threshold)
             rest = cut_lineage(rest.join(struck, ["ticker", "node"], "left_anti"))
         open_rows = rest
-    if not kept_parts:
-        return open_rows.select("ticker", "node")
     out = kept_parts[0]
     for part in kept_parts[1:]:
         out = out.unionByName(part)

@@ -467,7 +467,7 @@ def news_summary(daily: DataFrame, scored: DataFrame, tickers: DataFrame, limit:
         F.min_by("title", F.when(has_score, F.struct("score", "recency"))).alias("worst"),
         F.min_by(F.coalesce("title", F.lit("")), "recency").alias("newest"),
     )
-    base = tickers.select("ticker").distinct()
+    base = tickers.select(F.upper("ticker").alias("ticker")).distinct()
     joined = base.join(latest, "ticker", "left").join(heads, "ticker", "left").join(counted, "ticker", "left")
     known = F.col("news_count").isNotNull()
     label = L.sentiment_label(F.col("sentiment_mean"))

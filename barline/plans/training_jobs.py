@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import backtest, correlation, models, training, upsert
+from ..session import cut_lineage
 from ..sources.files import write_csv, write_json, write_parquet
 
 
@@ -19,7 +20,7 @@ def train_global(
 
     Returns the one-row metrics table. `output` is a folder all executors can reach.
     """
-    rows = backtest.training_rows(dataset).persist()
+    rows = cut_lineage(backtest.training_rows(dataset))
     features = models.usable_features(rows, backtest.feature_columns(rows, include_news))
     metrics = models.cross_validate_returns(rows, features, n_splits, gap_dates, top_n, kind, **size)
     model = models.fit_return_model(rows, features, kind=kind, **size)
@@ -41,7 +42,6 @@ def train_global(
     write_json(models.feature_importance(model, features), f"{output}/feature_importance")
     spark = dataset.sparkSession
     write_json(spark.createDataFrame([(json.dumps({"features": features, "model_type": kind}),)], "artifact string"), f"{output}/artifact")
-    rows.unpersist()
     return spark.read.json(f"{output}/metrics")
 
 
@@ -81,6 +81,7 @@ def comparison_report(comparison: DataFrame, importance: DataFrame | None = None
 
 def train_direction(dataset: DataFrame, output: str, test_size: float = 0.2, kind: str = "boosted", **size) -> DataFrame:
     """Chronological split, fit, test metrics, stored model; returns the metrics row."""
+    dataset = cut_lineage(dataset)
     train, test = backtest.train_test(dataset, test_size)
     categorical, numeric = backtest.direction_feature_columns(dataset)
     used = models.usable_features(train, numeric)
