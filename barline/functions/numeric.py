@@ -20,6 +20,17 @@ def change(now: Column, before: Column) -> Column:
     return F.try_divide(now, before) - F.lit(1.0)
 
 
+def rolling_dense(series: WindowSpec, n: int):
+    """The same for columns without NULLs: the row position replaces a count per column."""
+    frame = series.rowsBetween(-(n - 1), 0)
+    position = F.row_number().over(series)
+
+    def apply(aggregate, c: Column) -> Column:
+        return F.when(position >= n, aggregate(c).over(frame))
+
+    return apply
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 

@@ -23,7 +23,7 @@ from ..functions.text import canonical_url, normalize_ticker, text_or_empty, tit
 from ..session import cut_lineage
 
 BLOCK = 512
-DECISION = "ticker string, node bigint, state int"
+DECISION = "ticker string, node bigint, url string, state int"
 
 
 def dedup_keys(news: DataFrame, order: str = "ingest_order") -> DataFrame:
@@ -66,10 +66,10 @@ def _settle_block(threshold: float):
             if state == 1 and (url_waits or (url and url in waiting_urls)):
                 state = None
             if state == 0:
-                decided.append((node, 0))
+                decided.append((node, url, 0))
                 continue
             if state == 1:
-                decided.append((node, 1))
+                decided.append((node, url, 1))
                 if url:
                     urls.add(url)
             elif url:
@@ -78,7 +78,7 @@ def _settle_block(threshold: float):
                 for word in mine:
                     holders.setdefault(word, []).append(len(titles))
                 titles.append((mine, state == 1))
-        out = pd.DataFrame(decided, columns=["node", "state"]).astype(
+        out = pd.DataFrame(decided, columns=["node", "url", "state"]).astype(
             {"node": "int64", "state": "int32"}
         )
         out.insert(0, "ticker", pdf["ticker"].iat[0])
@@ -157,6 +157,27 @@ def _title_strikes(open_rows: DataFrame, kept: DataFrame, threshold: float) -> D
     )
 
 
+def _crowded(open_rows: DataFrame, block: int) -> DataFrame:
+    """Days that hold more undecided articles than one block."""
+    counts = open_rows.groupBy("ticker", "day").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > block).select("ticker", "day")
+
+
+def _front(open_rows: DataFrame, block: int, crowds: bool) -> DataFrame:
+    """The first `block` undecided articles of each day, each knowing whether its URL waits."""
+    first_holder = (
+        open_rows.where("url <> ''").groupBy("ticker", "url").agg(F.min("node").alias("holder"))
+    )
+    front = open_rows
+    if crowds:
+        # the rank limit is applied before the shuffle too, so a hot day sends one block per task
+        rank = F.row_number().over(W.partitionBy("ticker", "day").orderBy("node"))
+        front = open_rows.withColumn("rank", rank).where(F.col("rank") <= block).drop("rank")
+    return front.join(first_holder, ["ticker", "url"], "left").withColumn(
+        "url_waits", F.coalesce(F.col("holder") < F.col("node"), F.lit(False))
+    )
+
+
 def kept_nodes(
     keys: DataFrame, threshold: float = TITLE_SIMILARITY, block: int = BLOCK
 ) -> DataFrame:
@@ -167,36 +188,27 @@ def kept_nodes(
         keys.where(~blank).groupBy("ticker", "day", "url", "words").agg(F.min("node").alias("node"))
     )
     kept_parts = [keys.where(blank).select("ticker", "node")]
+    # days only shrink, so without a crowd at the start there is none later
+    crowds = not _crowded(open_rows, block).isEmpty()
     while not open_rows.isEmpty():
-        first_holder = (
-            open_rows.where("url <> ''").groupBy("ticker", "url").agg(F.min("node").alias("holder"))
-        )
-        day_order = W.partitionBy("ticker", "day").orderBy("node")
-        # the rank limit is applied before the shuffle too, so a hot day sends one block per task
-        front = (
-            open_rows.withColumn("rank", F.row_number().over(day_order))
-            .where(F.col("rank") <= block)
-            .join(first_holder, ["ticker", "url"], "left")
-            .withColumn("url_waits", F.coalesce(F.col("holder") < F.col("node"), F.lit(False)))
-        )
         decided = cut_lineage(
-            front.groupBy("ticker", "day").applyInPandas(_settle_block(threshold), DECISION)
-        )
-        kept = cut_lineage(
-            open_rows.join(decided.where("state = 1"), ["ticker", "node"], "left_semi")
+            _front(open_rows, block, crowds).groupBy("ticker", "day")
+            .applyInPandas(_settle_block(threshold), DECISION)
         )
+        kept = decided.where("state = 1")
         kept_parts.append(kept.select("ticker", "node"))
         kept_urls = kept.where("url <> ''").select("ticker", "url").distinct()
-        rest = cut_lineage(
-            open_rows.join(decided, ["ticker", "node"], "left_anti")
-            .join(kept_urls, ["ticker", "url"], "left_anti")
+        rest = open_rows.join(decided.select("ticker", "node"), ["ticker", "node"], "left_anti").join(
+            kept_urls, ["ticker", "url"], "left_anti"
         )
-        crowded = open_rows.groupBy("ticker", "day").count().where(F.col("count") > block)
-        if not crowded.isEmpty():
-            on_crowded = rest.join(crowded.select("ticker", "day"), ["ticker", "day"], "left_semi")
-            struck = _title_strikes(on_crowded, kept, threshold)
-            rest = cut_lineage(rest.join(struck, ["ticker", "node"], "left_anti"))
-        open_rows = rest
+        if crowds:
+            rest = cut_lineage(rest)
+            days = _crowded(open_rows, block)
+            kept_rows = open_rows.join(kept.select("ticker", "node"), ["ticker", "node"], "left_semi")
+            on_crowded = rest.join(days, ["ticker", "day"], "left_semi")
+            struck = _title_strikes(on_crowded, kept_rows, threshold)
+            rest = rest.join(struck, ["ticker", "node"], "left_anti")
+        open_rows = cut_lineage(rest)
     out = kept_parts[0]
     for part in kept_parts[1:]:
         out = out.unionByName(part)

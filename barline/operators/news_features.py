@@ -61,22 +61,33 @@ def prepare_articles(news: DataFrame, positive=None, negative=None) -> DataFrame
     """De-duplicated articles with text, source, provider, score and its bucket flags."""
     require_columns(news, ["ticker", "date", "title", "summary", "url", "source"], "news data")
     provider = F.col("provider") if "provider" in news.columns else F.lit(None).cast("string")
+    text = article_text(F.col("title"), F.col("summary"))
     base = (
         news.withColumn("date", F.col("date").cast("date"))
         .na.drop(subset=["ticker", "date"])
         .select(
             "ticker", "date",
             *(["ingest_order"] if "ingest_order" in news.columns else []),
-            article_text(F.col("title"), F.col("summary")).alias("text"),
+            # a generator drops empty texts while cleaning each text only once; a plain filter
+            # would be pushed below and clean it a second time
+            F.explode(F.filter(F.array(text), lambda t: F.length(t) > 0)).alias("text"),
             F.coalesce(non_empty(F.col("source")), F.lit("Unknown")).alias("source"),
             provider.alias("provider"),
         )
-        .where(F.length("text") > 0)
         .withColumn("provider", resolve_provider(F.col("provider"), F.col("source")))
     )
     return base.withColumn("sentiment_score", lexicon_sentiment(F.col("text"), positive, negative))
 
 
+def _entropy(n, source_n, sources):
+    """Normalised entropy from row counts and the count of each row's source; one source gives 0."""
+    # -sum p ln p = ln N - (sum n ln n_source) / N, so the shares need no second pass
+    total = F.sum(n)
+    entropy = F.ln(total) - F.sum(n * F.ln(source_n)) / total
+    kinds = sources.cast("double")
+    return F.when(kinds > 1, safe_div(entropy, F.ln(kinds))).otherwise(F.lit(0.0))
+
+
 def source_diversity(articles: DataFrame) -> DataFrame:
     """Normalised entropy of the sources of each (ticker, date); one source or none gives 0."""
     counts = (
@@ -84,36 +95,66 @@ def source_diversity(articles: DataFrame) -> DataFrame:
         .where("source is not null")
         .groupBy("ticker", "date", "source").agg(F.count("*").cast("double").alias("n"))
     )
-    return counts.groupBy("ticker", "date").agg(_entropy().alias("source_diversity"))
-
-
-def _entropy():
-    # -sum p ln p = ln N - (sum n ln n) / N, so the counts need no second pass
-    n, kinds = F.sum("n"), F.count("*")
-    entropy = F.ln(n) - F.sum(F.col("n") * F.ln("n")) / n
-    return F.when(kinds > 1, safe_div(entropy, F.ln(kinds.cast("double")))).otherwise(F.lit(0.0))
+    n = F.col("n")
+    return counts.groupBy("ticker", "date").agg(
+        _entropy(n, n, F.count("*")).alias("source_diversity")
+    )
 
 
 def daily_news(articles: DataFrame, vectors: bool = False) -> DataFrame:
-    """Daily features per ticker; all aggregates combine before the shuffle."""
+    """Daily features per ticker, in one pass over the texts.
+
+    Articles fold to (ticker, date, source, provider) by a partial aggregate. What is left is
+    small; one exchange by (ticker, date) then serves the distinct counts, the entropy and the
+    merge of the moments. Means are merged around the day's lowest one, so equal scores give a
+    deviation of exactly zero.
+    """
     s = F.col("sentiment_score")
-    stats = articles.groupBy("ticker", "date").agg(
-        F.avg(s).alias("sentiment_mean"),
-        F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("sentiment_std"),
-        F.count("*").alias("news_count"),
-        F.min(s).alias("sentiment_min"), F.max(s).alias("sentiment_max"),
-        F.avg(F.abs(s)).alias("sentiment_abs_mean"),
-        F.sum((s > SENTIMENT_BAND).cast("bigint")).alias("positive_news_count"),
-        F.sum(s.between(-SENTIMENT_BAND, SENTIMENT_BAND).cast("bigint")).alias("neutral_news_count"),
-        F.sum((s < -SENTIMENT_BAND).cast("bigint")).alias("negative_news_count"),
-        F.count_distinct("source").alias("source_count"),
-        F.count_distinct("provider").alias("provider_count"),
+    folded = (
+        articles.groupBy("ticker", "date", "source", "provider").agg(
+            F.count("*").cast("double").alias("n"), F.avg(s).alias("m"),
+            (F.var_pop(s) * F.count(s)).alias("m2"), F.min(s).alias("lo"), F.max(s).alias("hi"),
+            F.sum(F.abs(s)).alias("size"),
+            F.sum((s > SENTIMENT_BAND).cast("bigint")).alias("pos"),
+            F.sum((s < -SENTIMENT_BAND).cast("bigint")).alias("neg"),
+            F.sum(s.between(-SENTIMENT_BAND, SENTIMENT_BAND).cast("bigint")).alias("mid"),
+        )
+        .repartition("ticker", "date")
+    )
+    day = ["ticker", "date"]
+
+    def first_of(c):
+        order = "provider" if c == "source" else "source"
+        return (F.row_number().over(W.partitionBy(*day, c).orderBy(order)) == 1).cast("bigint")
+
+    n = F.col("n")
+    known = folded.select(
+        "*", F.min("m").over(W.partitionBy(*day)).alias("base"),
+        F.sum("n").over(W.partitionBy(*day, "source")).alias("source_n"),
+        first_of("source").alias("new_source"), first_of("provider").alias("new_provider"),
+    )
+    off = F.col("m") - F.col("base")
+    total, shift = F.sum(n), F.sum(n * off)
+    spread = F.sum("m2") + F.sum(n * off * off) - shift * shift / total
+    sources = F.sum("new_source")
+    daily = known.groupBy(*day).agg(
+        (F.first("base") + shift / total).alias("sentiment_mean"),
+        F.when(
+            total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(total - 1, F.lit(0.0)))
+        ).otherwise(F.lit(0.0)).alias("sentiment_std"),
+        total.cast("bigint").alias("news_count"),
+        F.min("lo").alias("sentiment_min"), F.max("hi").alias("sentiment_max"),
+        (F.sum("size") / total).alias("sentiment_abs_mean"),
+        F.sum("pos").alias("positive_news_count"), F.sum("mid").alias("neutral_news_count"),
+        F.sum("neg").alias("negative_news_count"), sources.alias("source_count"),
+        F.sum("new_provider").alias("provider_count"),
+        _entropy(n, F.col("source_n"), sources).alias("source_diversity"),
     )
-    out = with_momentum(stats.join(source_diversity(articles), ["ticker", "date"]))
+    out = with_momentum(daily)
     if vectors:
-        out = out.join(daily_vectors(articles), ["ticker", "date"], "left")
-        return out.select("ticker", "date", *news_feature_columns())
-    return out.select("ticker", "date", *NEWS_FEATURES)
+        out = out.join(daily_vectors(articles), day, "left")
+        return out.select(*day, *news_feature_columns())
+    return out.select(*day, *NEWS_FEATURES)
 
 
 def with_momentum(daily: DataFrame) -> DataFrame:

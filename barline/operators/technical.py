@@ -12,7 +12,7 @@ weight left out is below 1e-49 of the signal for the slowest average used here.
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import PRICE_FEATURES
-from ..functions.numeric import change, finite, rolling, safe_div
+from ..functions.numeric import change, finite, rolling, rolling_dense, safe_div
 from ..schema import require_columns
 
 BLOCK = 512
@@ -120,7 +120,7 @@ def moving_averages(bars: DataFrame, windows=(20, 50, 200)) -> DataFrame:
     w = series_window()
     return clean_bars(bars).select(
         "ticker", "date",
-        *[rolling(w, n)(F.avg, F.col("close")).alias(f"SMA_{n}") for n in windows],
+        *[rolling_dense(w, n)(F.avg, F.col("close")).alias(f"SMA_{n}") for n in windows],
     )
 
 
@@ -171,7 +171,7 @@ def _bollinger_columns(close, middle, std) -> list[Column]:
 
 
 def bollinger(bars: DataFrame) -> DataFrame:
-    r20 = rolling(series_window(), 20)
+    r20 = rolling_dense(series_window(), 20)
     base = clean_bars(bars).select(
         "ticker", "date", "close",
         r20(F.avg, F.col("close")).alias("m"), r20(F.stddev_samp, F.col("close")).alias("s"),
@@ -208,12 +208,12 @@ def volume_features(bars: DataFrame) -> DataFrame:
     w = series_window()
     v = F.col("v")
     base = clean_bars(bars).select("ticker", "date", _volume().alias("v"))
-    m20, m50 = rolling(w, 20)(F.avg, v), rolling(w, 50)(F.avg, v)
+    m20, m50 = rolling_dense(w, 20)(F.avg, v), rolling_dense(w, 50)(F.avg, v)
     return base.select(
         "ticker", "date", m20.alias("volume_sma_20"), m50.alias("volume_sma_50"),
         safe_div(v, m20).alias("volume_ratio_20"), safe_div(v, m50).alias("volume_ratio_50"),
         change(v, F.lag(v, 1).over(w)).alias("volume_change_1d"),
-        safe_div(v - m20, rolling(w, 20)(F.stddev_samp, v)).alias("volume_zscore_20"),
+        safe_div(v - m20, rolling_dense(w, 20)(F.stddev_samp, v)).alias("volume_zscore_20"),
     )
 
 
@@ -222,7 +222,7 @@ def ma_ratios(bars: DataFrame) -> DataFrame:
     w = series_window()
     s = base.select(
         "ticker", "date", "close",
-        *[rolling(w, n)(F.avg, F.col("close")).alias(f"SMA_{n}") for n in (20, 50, 200)],
+        *[rolling_dense(w, n)(F.avg, F.col("close")).alias(f"SMA_{n}") for n in (20, 50, 200)],
     )
     return s.select("ticker", "date", *_ma_ratio_columns())
 
@@ -246,8 +246,8 @@ def _range_columns(n: int) -> list[Column]:
 
 def _extremes(w, n: int) -> list[Column]:
     return [
-        rolling(w, n)(F.max, F.col("close")).alias(f"_max{n}"),
-        rolling(w, n)(F.min, F.col("close")).alias(f"_min{n}"),
+        rolling_dense(w, n)(F.max, F.col("close")).alias(f"_max{n}"),
+        rolling_dense(w, n)(F.min, F.col("close")).alias(f"_min{n}"),
     ]
 
 
@@ -289,7 +289,7 @@ def obv(bars: DataFrame) -> DataFrame:
 def dollar_volume(bars: DataFrame) -> DataFrame:
     base = clean_bars(bars).select("ticker", "date", (F.col("close") * _volume()).alias("dollar_volume"))
     return base.select(
-        "*", rolling(series_window(), 20)(F.avg, F.col("dollar_volume")).alias("dollar_volume_sma_20")
+        "*", rolling_dense(series_window(), 20)(F.avg, F.col("dollar_volume")).alias("dollar_volume_sma_20")
     )
 
 
@@ -306,14 +306,14 @@ def price_features(bars: DataFrame) -> DataFrame:
         F.lag(close, 1).over(w).alias("_prev"),
         *[change(close, F.lag(close, n).over(w)).alias(f"return_{n}d") for n in (1, 5, 10, 20)],
         *[change(close, F.lag(close, n).over(w)).alias(f"momentum_{n}d") for n in (5, 10, 20, 60)],
-        *[rolling(w, n)(F.avg, close).alias(f"SMA_{n}") for n in (20, 50, 200)],
-        rolling(w, 20)(F.stddev_samp, close).alias("_std20"),
+        *[rolling_dense(w, n)(F.avg, close).alias(f"SMA_{n}") for n in (20, 50, 200)],
+        rolling_dense(w, 20)(F.stddev_samp, close).alias("_std20"),
         *_extremes(w, 20), *_extremes(w, 60),
         _volume().alias("_v"),
-        *[rolling(w, n)(F.avg, _volume()).alias(f"volume_sma_{n}") for n in (20, 50)],
-        rolling(w, 20)(F.stddev_samp, _volume()).alias("_vstd"),
+        *[rolling_dense(w, n)(F.avg, _volume()).alias(f"volume_sma_{n}") for n in (20, 50)],
+        rolling_dense(w, 20)(F.stddev_samp, _volume()).alias("_vstd"),
         F.lag(_volume(), 1).over(w).alias("_vprev"),
-        rolling(w, 20)(F.avg, close * _volume()).alias("dollar_volume_sma_20"),
+        rolling_dense(w, 20)(F.avg, close * _volume()).alias("dollar_volume_sma_20"),
     )
     rows = raw.select(
         "*", close.alias("_x"),

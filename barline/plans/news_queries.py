@@ -28,18 +28,18 @@ def query(name, oracle=None):
 
 @query("clean_text", sql(f"SELECT page_id, md5({clean('html')}) AS cleaned FROM pages"))
 def clean_text(spark, sf):
-    return views.table(spark, sf, "pages").select("page_id", F.md5(T.clean_text(F.col("html"))).alias("cleaned"))
+    return views.texts(spark, sf, "pages", "page_id").select("page_id", F.md5(T.clean_text(F.col("html"))).alias("cleaned"))
 
 
 @query("lexicon_sentiment", sql(f"SELECT doc_id, {rnd(lexicon('text'))} AS score FROM documents"))
 def lexicon_sentiment(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.texts(spark, sf, "documents", "doc_id")
     return rounded(docs.select("doc_id", T.lexicon_sentiment(F.col("text"), POSITIVE, NEGATIVE).alias("score")))
 
 
 @query("score_text", sql(f"SELECT conv_id, turn, {rnd(lexicon('text'))} AS sentiment_score FROM conversations"))
 def score_text(spark, sf):
-    rows = views.table(spark, sf, "conversations")
+    rows = views.texts(spark, sf, "conversations", "conv_id")
     scored = news_features.score_text(rows, "text", None, "auto", POSITIVE, NEGATIVE)
     return rounded(scored.select("conv_id", "turn", "sentiment_score"))
 
@@ -56,7 +56,7 @@ def fill_article_sentiment(spark, sf):
 @query("title_tokens", sql(f"SELECT doc_id, len({tokens('text')}) AS n, md5(array_to_string({tokens('text')}, ' ')) AS words FROM documents"))
 def title_tokens(spark, sf):
     words = T.title_tokens(F.col("text"))
-    docs = views.table(spark, sf, "documents").select("doc_id", words.alias("w"))
+    docs = views.texts(spark, sf, "documents", "doc_id").select("doc_id", words.alias("w"))
     return docs.select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", " ")).alias("words"))
 
 
@@ -84,7 +84,7 @@ SOURCE_TEXT = "CASE doc_id % 4 WHEN 0 THEN 'GDELT - ' || source WHEN 1 THEN ' Ne
     WHEN lower(trim(s)) LIKE 'newsapi%' THEN 'newsapi' WHEN lower(trim(s)) LIKE 'mediastack%' THEN 'mediastack' ELSE 'rss' END) AS provider
     FROM (SELECT doc_id, {SOURCE_TEXT} AS s, CASE WHEN lang = 'de' THEN ' Wire ' WHEN lang = 'fr' THEN ' ' END AS p FROM documents)""")
 def provider_infer(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.texts(spark, sf, "documents", "doc_id")
     kind = F.col("doc_id") % 4
     source = (
         F.when(kind == 0, F.concat(F.lit("GDELT - "), "source")).when(kind == 1, F.concat(F.lit(" NewsAPI - "), "source"))
@@ -148,7 +148,7 @@ ALIAS_SQL = {
 
 def first_words(spark, sf):
     """Alias table: the first word of the document whose id is the nation's key."""
-    docs = views.table(spark, sf, "documents")
+    docs = views.texts(spark, sf, "documents", "doc_id")
     word = F.get(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z0-9]+)"), 1), F.lit(0))
     nation = views.table(spark, sf, "nation")
     return nation.join(docs, F.col("doc_id") == F.col("n_nationkey")).select(
@@ -158,7 +158,7 @@ def first_words(spark, sf):
 
 @query("ticker_tagging", sql("SELECT * FROM tagged", **ALIAS_SQL))
 def ticker_tagging(spark, sf):
-    docs = views.table(spark, sf, "documents").withColumnRenamed("doc_id", "ingest_order")
+    docs = views.texts(spark, sf, "documents", "doc_id").withColumnRenamed("doc_id", "ingest_order")
     return news_features.tag_tickers(docs, first_words(spark, sf))
 
 
@@ -335,7 +335,7 @@ def final_dataset(spark, sf):
 # --- landed payloads ---------------------------------------------------------------------------
 
 def _docs_with_url(spark, sf):
-    docs, pages = views.table(spark, sf, "documents"), views.table(spark, sf, "pages").select("page_id", F.col("url").alias("page_url"))
+    docs, pages = views.texts(spark, sf, "documents", "doc_id"), views.table(spark, sf, "pages").select("page_id", F.col("url").alias("page_url"))
     n = pages.agg(F.count("*")).scalar()
     return docs.withColumn("page_key", F.col("doc_id") % n).join(pages, F.col("page_key") == F.col("page_id"))
 
@@ -448,13 +448,13 @@ def html_meta_extract(spark, sf):
         F.col("page_id") % 3 == 1, F.concat(F.lit('<meta property="og:image" content="data:x"><meta name="twitter:image" content="https://cdn/'), pid, F.lit('">'))
     ).otherwise("")
     icon = F.when(F.col("page_id") % 2 == 0, F.lit('<link rel="Shortcut Icon" href="/i.png">')).otherwise("")
-    pages = views.table(spark, sf, "pages").withColumn("html", F.concat(meta, icon, "html"))
+    pages = views.texts(spark, sf, "pages", "page_id").withColumn("html", F.concat(meta, icon, "html"))
     return P.page_media(pages).select("page_id", "image_url", "icon_url")
 
 
 @query("html_meta_raw", """SELECT page_id, CAST(NULL AS VARCHAR) AS image_url, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/favicon.ico' AS icon_url FROM pages""")
 def html_meta_raw(spark, sf):
-    return P.page_media(views.table(spark, sf, "pages")).select("page_id", "image_url", "icon_url")
+    return P.page_media(views.texts(spark, sf, "pages", "page_id")).select("page_id", "image_url", "icon_url")
 
 
 def listing_pages(spark, sf):
@@ -509,13 +509,13 @@ def stock_records_load(spark, sf):
 def hash_embed(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    docs = views.table(spark, sf, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    docs = views.texts(spark, sf, "documents", "doc_id").select("doc_id", T.clean_text(F.col("text")).alias("text"))
     v = news_features.hashed_vectors(docs).select("doc_id", vector_to_array("hashed").alias("v"))
     return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
 
 
 @query("pca_reduce")
 def pca_reduce(spark, sf):
-    docs = views.table(spark, sf, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    docs = views.texts(spark, sf, "documents", "doc_id").select("doc_id", T.clean_text(F.col("text")).alias("text"))
     out = news_features.reduce_vectors(news_features.hashed_vectors(docs))
     return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.abs(F.col("embedding")[0]), 4).alias("first"))

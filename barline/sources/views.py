@@ -12,6 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SMALL_BYTES = 1 << 30
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts.
+
+    A small one may come as a single split, which would leave all text work to one core, so it
+    is spread by key first. A table past the size check keeps the splits of its files.
+    """
+    df = table(spark, sf_dir, name)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if size < SMALL_BYTES else df
+
+
 def _daily(trades: DataFrame) -> DataFrame:
     """Trades to one bar per ticker and day; open and close by the trades' full order."""
     order = F.struct(
@@ -113,7 +127,7 @@ def raw_universe(spark, sf_dir) -> DataFrame:
 
 def news(spark, sf_dir) -> DataFrame:
     """Documents as instrument-tagged articles; copies share ticker and often the date."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents", "doc_id")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     page_count = pages.agg(F.count("*").alias("n")).scalar()
     title = F.substring_index("text", "\n", 1)
