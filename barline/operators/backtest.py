@@ -252,9 +252,7 @@ def exact_auc(df: DataFrame, by=("fold",), actual: str = "direction", score: str
         F.count_if(F.col(actual) != 1).cast("double").alias("neg"),
     )
     cuts = [i / slices for i in range(1, slices)]
-    bounds = df.na.drop(subset=[actual, score]).groupBy(*keys).agg(
-        F.percentile_approx(score, cuts, 10_000).alias("_cuts")
-    )
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(score, cuts, 10_000).alias("_cuts"))
     sliced = counts.join(bounds, keys).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(score)))
     ).drop("_cuts")

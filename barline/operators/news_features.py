@@ -15,6 +15,7 @@ from ..functions.text import (
     text_or_empty,
 )
 from ..schema import require_columns
+from ..session import cut_lineage
 from .news_dedup import deduplicate_news
 
 
@@ -177,10 +178,12 @@ def hashed_vectors(articles: DataFrame, text: str = "text", size: int = HASHED_T
 def reduce_vectors(df: DataFrame, column: str = "hashed", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
     """Centre, project on the leading components, pad with zeros (array column `embedding`).
 
-    The number of components is bounded by rows and width, so those two counts run first.
+    The number of components is bounded by rows and width, so those two counts run first. The
+    vectors are written once, because fitting reads them several times.
     """
     if dimensions < 1:
         raise ValueError("output_dimensions must be at least 1")
+    df = cut_lineage(df)
     head = df.select(column).limit(dimensions + 1).collect()
     if not head:
         return df.withColumn("embedding", F.array_repeat(F.lit(0.0), dimensions))
@@ -204,7 +207,8 @@ def reduce_vectors(df: DataFrame, column: str = "hashed", dimensions: int = EMBE
 
 def daily_vectors(articles: DataFrame, dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
     """Mean of each embedding dimension per ticker and date, as scalar columns."""
-    reduced = reduce_vectors(hashed_vectors(articles), dimensions=dimensions)
+    hashed = hashed_vectors(articles).select("ticker", "date", "hashed")
+    reduced = reduce_vectors(hashed, dimensions=dimensions)
     return reduced.groupBy("ticker", "date").agg(
         *[F.avg(F.col("embedding")[i]).alias(c) for i, c in enumerate(embedding_columns(dimensions))]
     )

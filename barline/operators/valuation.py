@@ -11,17 +11,19 @@ from ..functions.text import strip_every_suffix
 RECENT = 21
 
 
-def entry_calendar(bars: DataFrame) -> DataFrame:
-    """For each ticker and calendar day, the first bar on or after it.
+def bar_calendar(bars: DataFrame) -> DataFrame:
+    """For each ticker and calendar day, the first bar on or after it and the last on or before it.
 
-    Turns the as-of entry look-up into an equi-join. Its size is tickers times calendar days,
-    whatever the number of positions.
+    Turns both as-of look-ups into equi-joins. Its size is tickers times calendar days, whatever
+    the number of positions.
     """
     w = W.partitionBy("ticker").orderBy("date")
     gap = bars.select("ticker", "date", "close", F.lag("date", 1).over(w).alias("before"))
     days = F.sequence(F.coalesce(F.date_add("before", 1), F.col("date")), F.col("date"))
-    return gap.select(
-        "ticker", F.explode(days).alias("day"), F.col("date").alias("bar_date"), F.col("close").alias("entry_close")
+    spread = gap.select("*", F.explode(days).alias("day"))
+    return spread.select(
+        "ticker", "day", F.col("date").alias("bar_date"), F.col("close").alias("entry_close"),
+        F.when(F.col("day") == F.col("date"), F.col("date")).otherwise(F.col("before")).alias("held_bar"),
     )
 
 
@@ -34,10 +36,15 @@ def check_positions(positions: DataFrame, bars: DataFrame) -> DataFrame:
     priced = bars.na.drop(subset=["date", "close"])
     spans = _spans(priced)
     joined = positions.withColumn("ticker", strip_every_suffix(F.col("ticker"))).join(spans, "ticker", "left")
+    calendar = bar_calendar(priced)
+    bought = calendar.select("ticker", F.col("day").alias("_entry"), "bar_date", "entry_close")
+    sold = calendar.select("ticker", F.col("day").alias("_exit"), "held_bar")
+    placed = (
+        joined.withColumns({"_entry": F.greatest("entry_date", "first_bar"), "_exit": F.least("exit_date", "last_bar")})
+        .join(bought, ["ticker", "_entry"], "left").join(sold, ["ticker", "_exit"], "left")
+        .drop("_entry", "_exit")
+    )
     # an exit before the first bar on or after the entry leaves no row to value
-    entry = F.greatest("entry_date", "first_bar")
-    calendar = entry_calendar(priced).select("ticker", F.col("day").alias("_day"), "bar_date", "entry_close")
-    placed = joined.withColumn("_day", entry).join(calendar, ["ticker", "_day"], "left").drop("_day")
     # fixed values: reasons
     reason = (
         F.when(F.col("ticker").isin(INDEX_TICKER, INDEX_SYMBOL), "Projection requires a stock ticker, not IHSG.")
@@ -67,15 +74,14 @@ def recent_drift(bars: DataFrame) -> DataFrame:
 
 
 def position_values(positions: DataFrame, bars: DataFrame) -> DataFrame:
-    """One row per position and day held: bars first, then projected weekdays past the last bar.
+    """One row per position and day held: bars first, then projected weekdays after the last held bar.
 
     Positions meet bars by ticker and month, so a position only travels to the months it spans;
     months hold at most 31 bars of a ticker. The projection is closed-form per weekday.
     """
     good = check_positions(positions, bars).where("reason is null").withColumn("shares", F.col("amount") / F.col("entry_close"))
-    held_until = F.least("exit_date", "last_bar")
     month = F.trunc("date", "month")
-    months = F.sequence(F.trunc("bar_date", "month"), F.trunc(held_until, "month"), F.expr("interval 1 month"))
+    months = F.sequence(F.trunc("bar_date", "month"), F.trunc("held_bar", "month"), F.expr("interval 1 month"))
     days = bars.na.drop(subset=["date", "close"]).select("ticker", "date", "close", month.alias("_month"))
     keep = ["position_id", "ticker", "amount", "entry_date", "exit_date", "bar_date", "entry_close", "shares"]
     actual = (
@@ -91,12 +97,12 @@ def position_values(positions: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def project_positions(good: DataFrame, bars: DataFrame, keep: list[str]) -> DataFrame:
-    """Weekday rows after the last bar up to the exit date."""
-    ahead = good.where(F.col("exit_date") > F.col("last_bar")).join(recent_drift(bars), "ticker")
+    """Weekday rows after the last bar held up to the exit date, from the ticker's latest close."""
+    ahead = good.where(F.col("exit_date") > F.col("held_bar")).join(recent_drift(bars), "ticker")
     p = F.coalesce(clamp(F.col("probability_up"), 0.0, 1.0), F.lit(0.5))
     daily = clamp(F.col("mean_return") + (p - 0.5) * F.col("volatility"), -0.1, 0.1)
     calendar = F.filter(
-        F.sequence(F.date_add("last_bar", 1), F.col("exit_date")), lambda d: F.weekday(d) < 5
+        F.sequence(F.date_add("held_bar", 1), F.col("exit_date")), lambda d: F.weekday(d) < 5
     )
     rows = ahead.withColumn("_daily", daily).select(
         *keep, "_daily", "volatility", "last_close", F.posexplode(calendar).alias("_h", "date")

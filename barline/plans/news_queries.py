@@ -173,8 +173,8 @@ GREEDY = {
       UNION ALL
       SELECT ticker, k, node, ok, CASE WHEN ok AND url <> '' THEN list_append(urls, url) ELSE urls END,
              CASE WHEN ok AND len(words) > 0 THEN list_append(titles, {'d': date, 'w': words}) ELSE titles END
-      FROM (SELECT n.*, urls, titles, NOT (n.url <> '' AND list_contains(urls, n.url)) AND NOT (len(n.words) > 0 AND len(list_filter(titles, lambda t:
-              t.d = n.date AND (t.w = n.words OR (least(len(t.w), len(n.words)) >= 4 AND
+      FROM (SELECT n.*, urls, titles, NOT (n.url <> '' AND list_contains(urls, n.url)) AND NOT (len(n.words) > 0 AND len(list_filter(list_filter(titles, lambda t: t.d = n.date), lambda t:
+              (t.w = n.words OR (least(len(t.w), len(n.words)) >= 4 AND
                 (len(list_intersect(t.w, n.words)) >= 0.9 * (len(t.w) + len(n.words) - len(list_intersect(t.w, n.words))) OR
                  (len(list_intersect(t.w, n.words)) >= 0.9 * least(len(t.w), len(n.words)) AND
                   len(list_intersect(t.w, n.words)) >= 0.75 * (len(t.w) + len(n.words) - len(list_intersect(t.w, n.words)))))))
@@ -189,17 +189,32 @@ def dedup(spark, sf):
     return news_dedup.deduplicate_news(views.news(spark, sf)).select("ticker", "ingest_order")
 
 
-@query("append_existing_dedup")
+def _greedy(keyed, final):
+    """The same walk over other articles: `keyed` gives node, ticker, date, url, words and k."""
+    return sql(final, True, **{**GREEDY, "keyed": keyed})
+
+
+CANONICAL_URL = "LEFT JOIN (SELECT DISTINCT url, canonical FROM pages JOIN canon USING (page_id)) USING (url)"
+APPENDED = f"""SELECT node, ticker, date, coalesce(canonical, '') AS url, {tokens('title')} AS words, row_number() OVER (PARTITION BY ticker ORDER BY node) AS k
+    FROM (SELECT *, CASE WHEN date < DATE '1997-01-01' THEN ingest_order ELSE ingest_order - (SELECT min(ingest_order) FROM news WHERE date >= DATE '1997-01-01')
+            + (SELECT max(ingest_order) + 1 FROM news WHERE date < DATE '1997-01-01') END AS node FROM news) {CANONICAL_URL}"""
+FED = f"""SELECT ingest_order AS node, t.ticker, date, coalesce(canonical, '') AS url, {tokens(squeeze("regexp_replace(title, '<[^>]+>', ' ', 'g')"))} AS words,
+    row_number() OVER (PARTITION BY t.ticker ORDER BY ingest_order) AS k
+    FROM (SELECT DISTINCT ingest_order, ticker FROM (SELECT ingest_order, unnest(list_distinct(regexp_extract_all(upper(replace({squeeze("regexp_replace(title || ' ' || summary, '<[^>]+>', ' ', 'g')")}, 'ß', 'ss')), '[A-Z0-9]+'))) AS alias FROM news)
+          JOIN alias USING (alias)) t JOIN news USING (ingest_order) {CANONICAL_URL}"""
+
+
+@query("append_existing_dedup", _greedy(APPENDED, "SELECT keyed.ticker, keyed.node AS ingest_order, date FROM walk JOIN keyed ON keyed.ticker = walk.ticker AND keyed.node = walk.node WHERE kept"))
 def append_existing_dedup(spark, sf):
     news = views.news(spark, sf)
     old, new = news.where("date < '1997-01-01'"), news.where("date >= '1997-01-01'")
     return news_dedup.append_and_deduplicate(old, new).select("ticker", "ingest_order", "date")
 
 
-@query("feed_ingest")
+@query("feed_ingest", sql("SELECT node AS ingest_order, ticker, 'rss' AS provider FROM walk WHERE kept", True, alias=ALIAS_SQL["alias"], **{**GREEDY, "keyed": FED}))
 def feed_ingest(spark, sf):
     entries = views.news(spark, sf).select("ingest_order", "date", "title", "summary", "url", "source", "image_url")
-    return news_features.ingest_feed(entries, first_words(spark, sf)).select("ingest_order", "ticker", "date", "url", "provider")
+    return news_features.ingest_feed(entries, first_words(spark, sf)).select("ingest_order", "ticker", "provider")
 
 
 # --- daily news features -----------------------------------------------------------------------
@@ -517,5 +532,5 @@ def hash_embed(spark, sf):
 @query("pca_reduce")
 def pca_reduce(spark, sf):
     docs = views.texts(spark, sf, "documents", "doc_id").select("doc_id", T.clean_text(F.col("text")).alias("text"))
-    out = news_features.reduce_vectors(news_features.hashed_vectors(docs))
+    out = news_features.reduce_vectors(news_features.hashed_vectors(docs).select("doc_id", "hashed"))
     return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.abs(F.col("embedding")[0]), 4).alias("first"))

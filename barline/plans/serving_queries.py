@@ -554,7 +554,8 @@ POSITION = {
         CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) + CAST(o_custkey % 60 - 3 AS INTEGER) AS DATE) AS exit_date, round((o_custkey % 100) / 99.0, 4) AS p
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "span": "SELECT ticker, min(date) AS first_bar, max(date) AS last_bar FROM bars GROUP BY ticker",
-    "entry": """SELECT pos.*, last_bar, (SELECT min(date) FROM bars b WHERE b.ticker = pos.ticker AND b.date >= pos.entry_date) AS bar_date FROM pos LEFT JOIN span USING (ticker)""",
+    "entry": """SELECT pos.*, last_bar, (SELECT min(date) FROM bars b WHERE b.ticker = pos.ticker AND b.date >= pos.entry_date) AS bar_date,
+        (SELECT max(date) FROM bars b WHERE b.ticker = pos.ticker AND b.date <= pos.exit_date) AS held_bar FROM pos LEFT JOIN span USING (ticker)""",
     "placed": """SELECT entry.*, b.close AS entry_close, CASE WHEN NOT amount > 0 THEN 'amount must be greater than zero' WHEN exit_date < entry_date THEN 'exit_date must be greater than or equal to entry_date'
         WHEN last_bar IS NULL THEN 'price_history must contain at least one close price' WHEN entry_date > last_bar THEN 'entry_date is after the latest available price'
         WHEN bar_date > exit_date THEN 'no price rows are available for the selected date range' END AS reason
@@ -566,7 +567,7 @@ POSITION = {
     "hist": """SELECT position_id, ticker, g.amount, b.date, b.close, shares * b.close AS value, shares * b.close AS lower_value, shares * b.close AS upper_value, 'historical' AS kind
         FROM good g JOIN bars b USING (ticker) WHERE b.date >= bar_date AND b.date <= exit_date""",
     "days": """SELECT g.*, d, row_number() OVER (PARTITION BY position_id ORDER BY d) AS h, greatest(-0.1, least(0.1, mean_return + (p - 0.5) * vol)) AS dr, vol, last_close
-        FROM (SELECT *, CAST(unnest(generate_series(last_bar + 1, exit_date, INTERVAL 1 DAY)) AS DATE) AS d FROM good WHERE exit_date > last_bar) g JOIN drift USING (ticker) WHERE isodow(d) < 6""",
+        FROM (SELECT *, CAST(unnest(generate_series(held_bar + 1, exit_date, INTERVAL 1 DAY)) AS DATE) AS d FROM good WHERE exit_date > held_bar) g JOIN drift USING (ticker) WHERE isodow(d) < 6""",
     "proj": """SELECT position_id, ticker, amount, d AS date, last_close * pow(1 + dr, h) AS close, shares * last_close * pow(1 + dr, h) AS value,
         shares * last_close * pow(1 + dr, h) * greatest(0.01, 1 - vol * sqrt(h)) AS lower_value, shares * last_close * pow(1 + dr, h) * (1 + vol * sqrt(h)) AS upper_value, 'projected' AS kind FROM days""",
 }

@@ -162,6 +162,16 @@ def test_projected_position(rows):
     assert out[1].upper_value == pytest.approx(out[1].value * (1 + r.std(ddof=1) * 2**0.5))
 
 
+def test_exit_on_a_weekday_without_a_bar_projects_from_the_latest_close(rows):
+    monday = dt.date(2026, 1, 5)
+    bars = closes(rows, [100, 110], monday).unionByName(closes(rows, [200], dt.date(2026, 1, 9)))
+    held = rows([(1, "BBCA", 100.0, monday, dt.date(2026, 1, 7), 0.5)], POSITION)
+    out = V.position_values(held, bars).orderBy("date").collect()
+    assert [(r.date.day, r.kind) for r in out] == [(5, "historical"), (6, "historical"), (7, "projected")]
+    # the mean return is beyond the allowed daily move
+    assert out[2].close == pytest.approx(200 * 1.1)
+
+
 @pytest.mark.parametrize("ticker,amount,entry,exit_,reason", [
     ("BBCA", 0.0, 0, 1, "amount"), ("BBCA", 1.0, 1, 0, "exit_date"), ("BBCA", 1.0, 9, 9, "after the latest"),
     ("NONE", 1.0, 0, 1, "at least one close"), ("^JKSE", 1.0, 0, 1, "stock ticker"), ("BBCA", 1.0, -5, -4, "no price rows"),
