@@ -266,8 +266,9 @@ FEED = {
     "extra": """SELECT ticker, ingest_order, date, score, identity, 'market' AS scope, place FROM few JOIN market_rows m ON true
                 WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.ticker = few.ticker AND own.identity = m.identity)
                 QUALIFY row_number() OVER (PARTITION BY ticker, identity ORDER BY place) = 1""",
-    "feed": """SELECT ticker, ingest_order, date, score, scope, row_number() OVER (PARTITION BY ticker ORDER BY scope DESC, place) AS place
-               FROM (SELECT * FROM own WHERE ticker IN (SELECT ticker FROM asked) UNION ALL SELECT * FROM extra) QUALIFY place <= 8""",
+    "merged": """SELECT ticker, ingest_order, date, score, scope, row_number() OVER (PARTITION BY ticker ORDER BY scope DESC, place) AS pos
+                 FROM (SELECT * FROM own WHERE ticker IN (SELECT ticker FROM asked) UNION ALL SELECT * FROM extra)""",
+    "feed": "SELECT ticker, ingest_order, date, score, scope, pos AS place FROM merged WHERE pos <= 8",
 }
 FEED = {"asked": "SELECT ticker FROM universe UNION ALL SELECT upper(s_name) FROM supplier", **FEED}
 LABEL = "CASE WHEN {0} IS NULL THEN 'Unknown' WHEN {0} > 0.05 THEN 'Positive' WHEN {0} < -0.05 THEN 'Negative' ELSE 'Neutral' END"
