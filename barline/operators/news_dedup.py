@@ -49,69 +49,76 @@ def titles_match(a: Column, b: Column, threshold: float = TITLE_SIMILARITY) -> C
     return (F.size(a) > 0) & ((a == b) | near)
 
 
-def _settle_block(threshold: float):
-    """Bounded per-day helper: walk one block in order and decide what can be decided."""
-
-    def settle(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("node")
-        holders = {}  # title word -> positions of kept or waiting titles that use it
-        titles, decided, urls, waiting_urls = [], [], set(), set()
-        for node, url, words, url_waits in zip(
-            pdf["node"], pdf["url"], pdf["words"], pdf["url_waits"]
-        ):
-            mine = frozenset(words)
-            state = 0 if url and url in urls else _title_verdict(mine, titles, holders, threshold)
-            if state == 1 and (url_waits or (url and url in waiting_urls)):
+class _Day:
+    """One day's block, walked in order: what is kept so far, and what has to wait."""
+
+    def __init__(self, threshold):
+        self.threshold = threshold
+        self.titles, self.holders = [], {}  # word sets with their state; word -> their places
+        self.urls, self.waiting_urls = set(), set()
+
+    def decide(self, url, words, url_waits):
+        """1 keeps the article, 0 drops it, None leaves it to a later round."""
+        state = 0 if url and url in self.urls else self._by_title(words)
+        if state == 1 and (url_waits or (url and url in self.waiting_urls)):
+            state = None
+        if state == 0:
+            return 0
+        if url:
+            (self.urls if state == 1 else self.waiting_urls).add(url)
+        if words:
+            for word in words:
+                self.holders.setdefault(word, []).append(len(self.titles))
+            self.titles.append((words, state == 1))
+        return state
+
+    def _by_title(self, words):
+        overlap = {}
+        for word in words:
+            for at in self.holders.get(word, ()):
+                overlap[at] = overlap.get(at, 0) + 1
+        state = 1
+        for at, common in overlap.items():
+            other, kept = self.titles[at]
+            if self._match(len(words), len(other), common):
+                if kept:
+                    return 0
                 state = None
-            if state == 0:
-                decided.append((node, url, 0))
-                continue
-            if state == 1:
-                decided.append((node, url, 1))
-                if url:
-                    urls.add(url)
-            elif url:
-                waiting_urls.add(url)
-            if mine:
-                for word in mine:
-                    holders.setdefault(word, []).append(len(titles))
-                titles.append((mine, state == 1))
-        out = pd.DataFrame(decided, columns=["node", "url", "state"]).astype(
-            {"node": "int64", "state": "int32"}
-        )
-        out.insert(0, "ticker", pdf["ticker"].iat[0])
-        return out
-
-    return settle
-
-
-def _title_verdict(mine, titles, holders, threshold):
-    """0: matches a kept title; None: matches only undecided ones; 1: free."""
-    if not mine:
-        return 1
-    overlap = {}
-    for word in mine:
-        for at in holders.get(word, ()):
-            overlap[at] = overlap.get(at, 0) + 1
-    verdict = 1
-    for at, common in overlap.items():
-        other, kept = titles[at]
-        smaller = min(len(mine), len(other))
-        jaccard = common / (len(mine) + len(other) - common)
-        match = jaccard == 1.0 or (
+        return state
+
+    def _match(self, a, b, common):
+        smaller, jaccard = min(a, b), common / (a + b - common)
+        return jaccard == 1.0 or (
             smaller >= TITLE_MIN_TOKENS
             and (
-                jaccard >= threshold
-                or (common / smaller >= threshold and jaccard >= TITLE_MIN_JACCARD)
+                jaccard >= self.threshold
+                or (common / smaller >= self.threshold and jaccard >= TITLE_MIN_JACCARD)
             )
         )
-        if match and kept:
-            return 0
-        if match:
-            verdict = None
-    return verdict
+
+
+def _settle(threshold: float):
+    """Decide sorted rows as they stream by; memory holds one day's block at a time."""
+
+    def run(batches):
+        import pandas as pd
+
+        current, day = None, None
+        for pdf in batches:
+            decided = []
+            for ticker, date, node, url, words, url_waits in zip(
+                pdf["ticker"], pdf["day"], pdf["node"], pdf["url"], pdf["words"], pdf["url_waits"]
+            ):
+                if (ticker, date) != current:
+                    current, day = (ticker, date), _Day(threshold)
+                state = day.decide(url, frozenset(words), url_waits)
+                if state is not None:
+                    decided.append((ticker, node, url, state))
+            yield pd.DataFrame(decided, columns=["ticker", "node", "url", "state"]).astype(
+                {"node": "int64", "state": "int32"}
+            )
+
+    return run
 
 
 def _prefix(words: Column, floor: float) -> Column:
@@ -192,8 +199,9 @@ def kept_nodes(
     crowds = not _crowded(open_rows, block).isEmpty()
     while not open_rows.isEmpty():
         decided = cut_lineage(
-            _front(open_rows, block, crowds).groupBy("ticker", "day")
-            .applyInPandas(_settle_block(threshold), DECISION)
+            _front(open_rows, block, crowds).repartition("ticker", "day")
+            .sortWithinPartitions("ticker", "day", "node")
+            .mapInPandas(_settle(threshold), DECISION)
         )
         kept = decided.where("state = 1")
         kept_parts.append(kept.select("ticker", "node"))
