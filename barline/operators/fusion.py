@@ -129,9 +129,14 @@ def code_table(dataset: DataFrame, column: str) -> DataFrame:
     )
 
 
-def add_encodings(dataset: DataFrame) -> DataFrame:
-    """Dense codes and the market-cap score (rank 1 scores one, the last rank zero)."""
-    top = dataset.agg(F.max("market_cap_rank").alias("top")).scalar()
+def add_encodings(dataset: DataFrame, instruments: DataFrame | None = None) -> DataFrame:
+    """Dense codes and the market-cap score (rank 1 scores one, the last rank zero).
+
+    `instruments` lists the ticker, sector and rank combinations of the dataset; with it the
+    codes do not read the dataset itself.
+    """
+    listed = dataset if instruments is None else instruments
+    top = listed.agg(F.max("market_cap_rank").alias("top")).scalar()
     rank = F.col("market_cap_rank").cast("double")
     score = (
         F.when(top <= 1, F.when(F.coalesce(rank, top) != 0, 1.0).otherwise(0.0))
@@ -139,7 +144,7 @@ def add_encodings(dataset: DataFrame) -> DataFrame:
     )
     coded = dataset
     for column in ("ticker", "sector"):
-        coded = coded.join(code_table(dataset, column), column, "left")
+        coded = coded.join(code_table(listed, column), column, "left")
     return coded.select(
         *dataset.columns,
         *[F.coalesce(f"{c}_encoded", F.lit(-1)).alias(f"{c}_encoded") for c in ("ticker", "sector")],
@@ -197,6 +202,8 @@ def final_dataset(
     news = align_news_features(news_features, prices.sparkSession, dimensions)
     arrived = collapse_news(lag_news(news, prices, lag), dimensions)
     fused = join_metadata(join_news(prices, arrived, dimensions), universe)
-    labelled = add_labels(add_encodings(add_temporal(fused)))
+    own = ["sector"] if "sector" in prices.columns else []
+    instruments = join_metadata(prices.select("ticker", *own).distinct(), universe)
+    labelled = add_labels(add_encodings(add_temporal(fused), instruments))
     out = add_cross_section_labels(labelled)
     return out.na.drop(subset=["target_return", "next_day_price"]) if drop_unlabeled else out
