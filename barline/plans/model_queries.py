@@ -39,7 +39,10 @@ def _latest_source(spark, sf):
     return cut_lineage(rows.select("ticker", "date", "sector", "next_day_price", "target_return", "direction", *FEATURES))
 
 
-@query("regression_model")
+LABELLED_COUNTS = "SELECT ticker, count(*) AS rows, count(*) AS {0} FROM labelled WHERE target_return IS NOT NULL AND next_day_price IS NOT NULL GROUP BY ticker"
+
+
+@query("regression_model", sql(LABELLED_COUNTS.format("predicted")))
 def regression_model(spark, sf):
     rows = _rows(spark, sf)
     model = models.fit_return_model(rows, FEATURES, **BOOST)
@@ -47,7 +50,7 @@ def regression_model(spark, sf):
     return scored.groupBy("ticker").agg(F.count("*").alias("rows"), F.count("predicted_return").alias("predicted"))
 
 
-@query("direction_classifier")
+@query("direction_classifier", sql(LABELLED_COUNTS.format("scored")))
 def direction_classifier(spark, sf):
     rows = _rows(spark, sf)
     model = models.fit_direction_classifier(rows, FEATURES, **FOREST)

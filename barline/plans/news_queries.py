@@ -520,7 +520,7 @@ def stock_records_load(spark, sf):
 
 # --- text vectors ------------------------------------------------------------------------------
 
-@query("hash_embed")
+@query("hash_embed", sql(f"""SELECT doc_id, CASE WHEN regexp_matches({clean('text')}, '[\\pL\\pN_][\\pL\\pN_]') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS squared_length FROM documents"""))
 def hash_embed(spark, sf):
     from pyspark.ml.functions import vector_to_array
 

@@ -579,20 +579,26 @@ def comparison(spark, sf):
     return backtest.compare_models(mean_metrics(spark, sf), mean_metrics(spark, sf, "other_return"))
 
 
-def _comparison_sql():
+def _compared():
     a = {f"{k}_a": v for k, v in _mean_sql("predicted_return").items()}
     b = {f"{k}_b": v for k, v in _mean_sql("other_return").items()}
     for suffix, group in (("a", a), ("b", b)):
         for k in group:
             for name in ("reg", "ranked", "by_day", "selected"):
                 group[k] = group[k].replace(f"FROM {name} ", f"FROM {name}_{suffix} ").replace(f"JOIN {name} ", f"JOIN {name}_{suffix} ")
-    body = f"""SELECT {rnd('b.mape', 4)} AS baseline_mape, {rnd('n.mape', 4)} AS nlp_model_mape, {rnd('(b.mape - n.mape) / b.mape * 100', 2)} AS mape_improvement_pct,
+    return {**BASE, **a, **b}
+
+
+COMPARED = _compared()
+COMPARISON_SQL = sql(
+    f"""SELECT {rnd('b.mape', 4)} AS baseline_mape, {rnd('n.mape', 4)} AS nlp_model_mape, {rnd('(b.mape - n.mape) / b.mape * 100', 2)} AS mape_improvement_pct,
       {rnd('n.directional_accuracy - b.directional_accuracy', 4)} AS directional_accuracy_delta, {rnd('n.rank_ic - b.rank_ic', 4)} AS rank_ic_delta,
-      {rnd('n.top_n_excess_return - b.top_n_excess_return', 4)} AS top_n_excess_return_delta, n.mape < b.mape AS nlp_helped FROM mean_a b JOIN mean_b n ON true"""
-    return sql(body, **BASE, **a, **b)
+      {rnd('n.top_n_excess_return - b.top_n_excess_return', 4)} AS top_n_excess_return_delta, n.mape < b.mape AS nlp_helped FROM mean_a b JOIN mean_b n ON true""",
+    **COMPARED,
+)
 
 
-@query("model_comparison", _comparison_sql())
+@query("model_comparison", COMPARISON_SQL)
 def model_comparison(spark, sf):
     out = comparison(spark, sf).select(
         "baseline_mape", "nlp_model_mape", "mape_improvement_pct", "directional_accuracy_delta", "rank_ic_delta", "top_n_excess_return_delta", "nlp_helped"

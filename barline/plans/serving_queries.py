@@ -395,10 +395,19 @@ def artifact_validate(spark, sf):
     return upsert.validate_tables(tables, needed, spark)
 
 
-@query("model_summary")
+@query("model_summary", sql(
+    f"""SELECT {rnd('b.mape', 4)} AS baseline_mape, {rnd('n.mape', 4)} AS nlp_model_mape, {rnd('g', 2)} AS improvement_pct,
+        {rnd('n.directional_accuracy', 4)} AS directional_accuracy, CAST(NULL AS DOUBLE) AS direction_classifier_accuracy, {rnd('n.rank_ic', 4)} AS rank_ic,
+        {rnd('n.top_n_excess_return', 4)} AS top_n_excess_return, (SELECT count(DISTINCT ticker) FROM scored) AS stocks_covered, (SELECT count(*) FROM scored) AS data_rows,
+        (SELECT count(*) FROM news) AS news_articles, (SELECT max(date) FROM news) AS latest_news_date,
+        CASE WHEN g > 0 THEN 'NLP features improved return error in the latest evaluation run.' ELSE 'NLP model currently performs in line with the technical baseline.' END
+          || CASE WHEN (SELECT count(*) FROM news) < 250 THEN ' News coverage is limited in the latest artifact, so NLP lift may be muted.' ELSE '' END AS narrative,
+        CASE WHEN (n.directional_accuracy >= 0.53 AND n.mape <= b.mape) OR n.mape <= 0.08 THEN 'Operational' WHEN g <= 0 THEN 'Technical Baseline Stable' ELSE 'Model Active' END AS health
+        FROM (SELECT *, (SELECT mape FROM mean_a) AS bm FROM mean_b) n JOIN mean_a b ON true JOIN (SELECT round((x.mape - y.mape) / x.mape * 100, 6) AS g FROM mean_a x JOIN mean_b y ON true) ON true""",
+    **price_queries.COMPARED))
 def model_summary(spark, sf):
     compared = price_queries.comparison(spark, sf)
-    return rounded(serving.model_summary(compared, derived.scored(spark, sf), views.news(spark, sf)), 4)
+    return rounded(serving.model_summary(compared, derived.scored(spark, sf), views.news(spark, sf)), 4, improvement_pct=2)
 
 
 @query("model_health", sql("""SELECT ticker, date, CASE WHEN (abs(predicted_return) >= 0.53 AND coalesce(abs(other_return) <= abs(target_return), true)) OR abs(other_return) <= 0.08 THEN 'Operational'
