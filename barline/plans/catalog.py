@@ -1,12 +1,8 @@
 """All registered queries and their checking SQL."""
 
-import importlib
+from . import model_queries, news_queries, price_queries, serving_queries
 
 QUERIES, ORACLES = {}, {}
-for _name in ("price_queries", "news_queries", "serving_queries", "model_queries"):
-    try:
-        _module = importlib.import_module(f"{__package__}.{_name}")
-    except ModuleNotFoundError:
-        continue
+for _module in (price_queries, news_queries, serving_queries, model_queries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
