@@ -1,10 +1,12 @@
 """Queries of the training-data operators, and their checking SQL."""
 
-from . import quality_rules
+from . import near_dedup, quality_rules
 
 QUERIES = {
+    "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
 }
 ORACLES = {
+    "op3_minhash_near_dedup": near_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
 }
