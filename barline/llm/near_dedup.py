@@ -12,6 +12,8 @@ Documents are linked where their sets have a Jaccard similarity of 0.85 or more.
   different components are then verified with each other. In crowded buckets a document is first
   dropped where too many of its shingles occur in no other crowded document: no partner in a
   crowded bucket could reach the threshold. Every drop is exact.
+* Pairs are verified only where their sketches agree in 98 of 140 bins; at the threshold 119 are
+  expected, and fewer than 98 come once in a million.
 * Verification intersects the full shingle sets of both texts.
 
 Texts without words (null, empty, blank) have an empty set and are linked with nothing. Rows that
@@ -23,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bytes_of_text import LOWER, WHITE, combine, column_bytes, mix, per_row_key, seeded, span_hashes, words
+from .bytes_of_text import LOWER, WHITE, chunks, combine, column_bytes, mix, per_row_key, seeded, span_hashes, words
 from .common import bound_batches, documents, map_texts
 from .storage import components, stored
 
-SHINGLE, BINS, BAND, PERCENT, CROWD = 5, 140, 5, 85, 16
+SHINGLE, BINS, BAND, PERCENT, CROWD, LEAST_EQUAL, BLOCK = 5, 140, 5, 85, 16, 98, 256
 _BANDS = BINS // BAND
 
 
@@ -82,12 +84,17 @@ def _describe(data, offsets):
     filled = sizes > 0
     ends = np.concatenate([[0], np.cumsum(filled * _BANDS)]).astype(np.int32)
     listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[filled].ravel().view(np.int64)))
-    return [sizes, one.view(np.int64), two.view(np.int64), listed]
+    # two bytes of each bin's mixed value are enough to estimate a similarity
+    short = mix(sketch.reshape(n, BINS)[filled].ravel()).astype(np.uint16).view(np.int16)
+    ends = np.concatenate([[0], np.cumsum(filled * BINS)]).astype(np.int32)
+    return [sizes, one.view(np.int64), two.view(np.int64), listed, pa.ListArray.from_arrays(pa.array(ends), pa.array(short))]
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, 128-bit set key and band keys of each document."""
-    return map_texts(docs, _describe, "n_shingles bigint, key_one bigint, key_two bigint, bands array<bigint>")
+    """doc_id, set size, 128-bit set key, band keys and two bytes of each sketch bin, of each document."""
+    return map_texts(
+        docs, _describe, "n_shingles bigint, key_one bigint, key_two bigint, bands array<bigint>, sketch array<smallint>"
+    )
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -98,24 +105,36 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                data, offsets = column_bytes(batch.column(batch.schema.get_field_index(name)))
-                sides.append((data, offsets))
-            good = []
-            for k in range(batch.num_rows):
-                a, b = (shingle_sets(d[o[k] : o[k + 1]], np.array([0, o[k + 1] - o[k]]))[0] for d, o in sides)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+            (data_a, at_a), (data_b, at_b) = (
+                column_bytes(batch.column(batch.schema.get_field_index(name))) for name in ("text_a", "text_b")
+            )
+            good = np.zeros(batch.num_rows, bool)
+            for i, j in chunks(at_a + at_b):
+                sets = [shingle_sets(d[o[i] : o[j]], o[i : j + 1] - o[i]) for d, o in ((data_a, at_a), (data_b, at_b))]
+                keys_a, keys_b = (per_row_key(values, owners) for values, owners in sets)
+                _, place, _ = np.intersect1d(keys_a, keys_b, assume_unique=True, return_indices=True)
+                both = np.bincount(sets[0][1][place], minlength=j - i)
+                sizes = np.bincount(sets[0][1], minlength=j - i) + np.bincount(sets[1][1], minlength=j - i)
+                good[i:j] = 100 * both >= PERCENT * (sizes - both)
             rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
-            yield rows.filter(pa.array(good, pa.bool_()))
+            yield rows.filter(pa.array(good))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(check, "a bigint, b bigint")
 
 
-def _similar_sizes(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _worth_checking(a: str, b: str):
+    """Sizes allow the threshold, and so do the sketches: a linked pair agrees in fewer than LEAST_EQUAL bins once in 10**6."""
+    size_a, size_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    equal = F.size(F.filter(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: x == y), lambda same: same))
+    return (100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b)) & (equal >= LEAST_EQUAL)
+
+
+def _first_shared(a: str, b: str):
+    """The band at hand is the first that both have, so that a pair comes from one bucket only."""
+    before = F.col(f"{a}.place")
+    same = F.zip_with(F.slice(f"{a}.bands", F.lit(1), before), F.slice(f"{b}.bands", F.lit(1), before), lambda x, y: x == y)
+    return ~F.exists(same, lambda x: x)
 
 
 def _distinct_shingles(data, offsets):
@@ -123,13 +142,18 @@ def _distinct_shingles(data, offsets):
     return [owners, values.view(np.int64)]
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `ids`; a merge join at every size, as the ids grow with the documents."""
+    return docs.where("doc_id IS NOT NULL").hint("merge").join(ids, "doc_id", "left_semi")
+
+
 def _open_members(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Members of buckets, without those of crowded buckets that can have no partner there."""
     crowded = members.where(F.col("size") >= CROWD)
     ids = stored(crowded.select(F.col("rep").alias("doc_id"), "n_shingles").distinct())
     if ids.isEmpty():
         return members
-    shingles = map_texts(docs.join(ids, "doc_id", "left_semi"), _distinct_shingles, "shingle bigint", explode=True)
+    shingles = map_texts(_texts_of(docs, ids.select("doc_id")), _distinct_shingles, "shingle bigint", explode=True)
     alone = (
         shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
         .where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
@@ -141,43 +165,116 @@ def _open_members(members: DataFrame, docs: DataFrame) -> DataFrame:
     return members.where(F.col("size") < CROWD).unionByName(crowded.join(closed, "rep", "left_anti").select(members.columns))
 
 
+def _matrix(column, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _tile_links(side: np.ndarray, cross: bool, reps, roots, sizes, bands, sketch, data, offsets):
+    """Links between members of different roots in a tile, at most one for each pair of roots that meet."""
+    order = np.argsort(side, kind="stable")
+    first = order[: int((side == side.min()).sum())] if cross else order
+    rest = order[len(first) :] if cross else order
+    sets, up = {}, {}
+
+    def shingles(k):
+        if k not in sets:
+            sets[k] = shingle_sets(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[0]
+            sets[k].sort()
+        return sets[k]
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    found = []
+    for n, i in enumerate(first.tolist()):
+        others = rest if cross else order[n + 1 :]
+        likely = (roots[others] != roots[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= PERCENT * np.maximum(sizes[others], sizes[i]))
+        others = others[likely]
+        others = others[(bands[others] == bands[i]).any(axis=1)]
+        others = others[(sketch[others] == sketch[i]).sum(axis=1) >= LEAST_EQUAL]
+        for j in others.tolist():
+            a, b = top(int(roots[i])), top(int(roots[j]))
+            if a == b:
+                continue
+            both = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
+            if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
+                up[max(a, b)] = min(a, b)
+                found.append((int(reps[i]), int(reps[j])))
+    return found
+
+
+def _crowded_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of different roots that share a crowded bucket.
+
+    Members meet in tiles of two blocks of those that have a leader in common, so no pair is ever
+    a row, and no task holds more than two blocks.
+    """
+    bound_batches(rest.sparkSession)
+    groups = stored(
+        rest.groupBy("lead", "rep")
+        .agg(*[F.any_value(c).alias(c) for c in ("root", "n_shingles", "bands", "sketch")])
+    )
+    counts = stored(groups.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    dealt = (
+        groups.join(counts, "lead").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        .join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    )
+
+    def tile(group: pa.Table) -> pa.Table:
+        data, offsets = column_bytes(group["text"])
+        numbers = {c: group[c].to_numpy() for c in ("own", "rep", "root", "n_shingles", "low", "high")}
+        cross = numbers["low"][0] != numbers["high"][0]
+        found = []
+        if not cross or len(np.unique(numbers["own"])) == 2:
+            found = _tile_links(
+                numbers["own"], cross, numbers["rep"], numbers["root"], numbers["n_shingles"],
+                _matrix(group["bands"], _BANDS), _matrix(group["sketch"], BINS), data, offsets,
+            )
+        return pa.table({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate(("a", "b"))})
+
+    return dealt.groupBy("lead", "low", "high").applyInArrow(tile, "a bigint, b bigint")
+
+
 def link(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (key_one, key_two, rep), and the components (id, root) of linked reps."""
-    spark = docs.sparkSession
+    """Classes of equal sets (key_one, key_two, n_shingles, rep), and the components (id, root) of linked reps."""
     classes = stored(
         described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key_one", "key_two", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     )
-    banded = classes.select("rep", "n_shingles", F.explode("bands").alias("band"))
+    banded = classes.select("rep", "n_shingles", F.posexplode("bands").alias("place", "band"))
     shared = stored(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
-    members = stored(banded.join(shared, "band").select("band", "rep", "n_shingles", "size"))
-    members = stored(_open_members(members, docs))
-    leaders = stored(
-        members.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("lead"), F.count("*").alias("size"))
-        .where("size > 1").select("band", F.col("lead.rep").alias("lead"), F.col("lead.n_shingles").alias("lead_shingles"))
-    )
-    led = members.drop("size").join(leaders, "band")
+    members = stored(banded.join(shared, "band").select("band", "place", "rep", "n_shingles", "size"))
+    members = _open_members(members, docs)
+    leaders = members.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
+    looks = classes.select(F.col("rep").alias("look"), "bands", "sketch")
+    led = stored(members.drop("size").join(stored(leaders), "band").join(looks, F.col("rep") == F.col("look")).drop("look"))
+    texts = stored(_texts_of(docs, led.select(F.col("rep").alias("doc_id")).distinct()))
+
+    heads = led.where("rep = lead").alias("h")
     star = stored(
-        led.where((F.col("rep") != F.col("lead")) & _similar_sizes("n_shingles", "lead_shingles"))
-        .select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        led.where("rep <> lead").alias("m").join(heads, (F.col("m.band") == F.col("h.band")) & _worth_checking("m", "h"))
+        .select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b")).distinct()
     )
-    # a second member can only be asked for where a bucket has one: all texts needed later are here
-    wanted = members.join(leaders, "band", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(docs.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi"))
     first = stored(_verified(star, texts))
     roots = components(first)
-    placed = stored(
-        led.where("rep <> lead").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("band", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    )
+
+    placed = led.where("rep <> lead").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     rest = stored(placed.join(mixed, "band", "left_semi"))
-    other = rest.select("band", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("root_b"))
-    across = (
-        rest.join(other, "band").where((F.col("root") < F.col("root_b")) & _similar_sizes("n_shingles", "n_b"))
-        .select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    few = rest.where(F.col("size") < CROWD)
+    across = stored(
+        few.alias("m").join(
+            few.alias("o"),
+            (F.col("m.band") == F.col("o.band")) & (F.col("m.root") < F.col("o.root")) & _first_shared("m", "o") & _worth_checking("m", "o"),
+        )
+        .select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b")).distinct()
     )
-    second = stored(_verified(stored(across), texts))
+    second = stored(_verified(across, texts).unionByName(_crowded_links(rest.where(F.col("size") >= CROWD), texts)))
     if not second.isEmpty():
         roots = components(first.unionByName(second))
     return classes, roots
@@ -192,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         .select("key_one", "key_two", "n_shingles", F.coalesce("root", "rep").alias("component"))
     )
-    return described.drop("bands").join(named, ["key_one", "key_two", "n_shingles"], "left").select(
+    return described.drop("bands", "sketch").join(named, ["key_one", "key_two", "n_shingles"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
