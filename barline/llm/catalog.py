@@ -1,16 +1,19 @@
 """Queries of the training-data operators, and their checking SQL."""
 
-from . import bpe, mixing, near_dedup, nearest, personal_data, quality_rules
+from . import bpe, license_scan, mixing, near_dedup, nearest, personal_data, quality_rules, toxicity
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_nearest_neighbours": nearest.op7_nearest_neighbours,
     "op8_personal_data": personal_data.op8_personal_data,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
+    "op1_license_scan": license_scan.SQL,
     "op3_minhash_near_dedup": near_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op6_mix_sources": mixing.SQL,
