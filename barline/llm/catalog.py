@@ -1,9 +1,10 @@
 """Queries of the training-data operators, and their checking SQL."""
 
-from . import bpe, license_scan, mixing, near_dedup, nearest, personal_data, quality_rules, toxicity, weak_quality
+from . import bpe, license_scan, mixing, near_dedup, nearest, personal_data, quality_rules, suffix_dedup, toxicity, weak_quality
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op10_weak_quality": weak_quality.op10_weak_quality,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_bpe": bpe.op4_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_license_scan": license_scan.SQL,
+    "op2_suffix_array_dedup": suffix_dedup.SQL,
     "op3_minhash_near_dedup": near_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op6_mix_sources": mixing.SQL,
