@@ -28,6 +28,8 @@ from .common import bound_batches, documents, map_texts
 
 TOKENIZER = "word_bpe_49k.json"
 CACHED_WORDS = 200_000
+#: Words up to so many symbols are merged over a plain list of ranks, longer ones over a heap.
+SHORT = 64
 #: White space as Unicode has it (the regex module's own class also takes U+001C to U+001F).
 _SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -67,10 +69,14 @@ class Vocabulary:
         self.strings: list = [None] * size
         for text, k in {**self.ids, **self.special}.items():
             self.strings[k] = text
-        self.longest = max(len(t) for t in self.ids)
+        self.reach: dict = {}  # the longest token by its first two symbols
+        for text in self.ids:
+            body = text[: -len(self.suffix)] if self.suffix and text.endswith(self.suffix) else text
+            self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         parts = np.array([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
-        self.ranks = {(a, b): (k, c) for k, (a, b, c) in enumerate(parts.tolist())}
+        self.ranks = {(a, b): k for k, (a, b, _) in enumerate(parts.tolist())}
+        self.merged = parts[:, 2].tolist()
         self._borders(parts, size)
         self.known = {text: np.array([k], "<u4").tobytes() for text, k in self.special.items()}
         self.library = None
@@ -139,9 +145,9 @@ class Vocabulary:
 
     def _propose(self, word: str) -> list[int] | None:
         """Longest match from the left; None where a symbol is unknown."""
-        ids, suffix, at, n, found = self.ids, self.suffix, 0, len(word), []
+        ids, reach, suffix, at, n, found = self.ids, self.reach, self.suffix, 0, len(word), []
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + reach.get(word[at : at + 2], 1)), at, -1):
                 token = ids.get(word[at:end] + suffix if end == n else word[at:end])
                 if token is not None:
                     found.append(token)
@@ -152,25 +158,42 @@ class Vocabulary:
         return found
 
     def _merge(self, word: str) -> list[int]:
-        """Exact merging: always the pair of lowest rank, leftmost first."""
-        texts = [*word[:-1], word[-1] + self.suffix]
-        tokens = [self.ids[t] for t in texts if t in self.ids]
+        """Exact merging: always the pair of lowest rank, leftmost first. A heap holds rank and place of each pair."""
+        ids, ranks, merged = self.ids, self.ranks, self.merged
+        tokens = [k for t in (*word[:-1], word[-1] + self.suffix) if (k := ids.get(t)) is not None]
         n = len(tokens)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(*self.ranks[pair][:1], k, *pair) for k in range(n - 1) if (pair := (tokens[k], tokens[k + 1])) in self.ranks]
+        if n <= SHORT:
+            line = [ranks.get(pair, _NEVER) for pair in zip(tokens, tokens[1:])]
+            while line and (rank := min(line)) < _NEVER:
+                k = line.index(rank)
+                tokens[k : k + 2] = [merged[rank]]
+                del line[k]
+                if k:
+                    line[k - 1] = ranks.get((tokens[k - 1], tokens[k]), _NEVER)
+                if k < len(line):
+                    line[k] = ranks.get((tokens[k], tokens[k + 1]), _NEVER)
+            return tokens
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+        for k in range(n - 1):
+            rank = ranks.get((tokens[k], tokens[k + 1]))
+            if rank is not None:
+                heap.append(rank << 32 | k)
         heapq.heapify(heap)
         while heap:
-            _, k, a, b = heapq.heappop(heap)
-            if not alive[k] or tokens[k] != a or after[k] >= n or tokens[after[k]] != b:
-                continue
+            entry = heapq.heappop(heap)
+            rank, k = entry >> 32, entry & 0xFFFFFFFF
             gone = after[k]
-            tokens[k], alive[gone], after[k] = self.ranks[a, b][1], False, after[gone]
+            if tokens[k] < 0 or gone >= n or ranks.get((tokens[k], tokens[gone])) != rank:
+                continue
+            tokens[k], tokens[gone], after[k] = merged[rank], -1, after[gone]
             if after[k] < n:
                 before[after[k]] = k
-            for start in (before[k], k):
-                if start >= 0 and after[start] < n and (pair := (tokens[start], tokens[after[start]])) in self.ranks:
-                    heapq.heappush(heap, (self.ranks[pair][0], start, *pair))
-        return [t for t, a in zip(tokens, alive) if a]
+                if (rank := ranks.get((tokens[k], tokens[after[k]]))) is not None:
+                    heapq.heappush(heap, rank << 32 | k)
+            left = before[k]
+            if left >= 0 and (rank := ranks.get((tokens[left], tokens[k]))) is not None:
+                heapq.heappush(heap, rank << 32 | left)
+        return [t for t in tokens if t >= 0]
 
     def learn(self, words: set[str]) -> None:
         """Encode words not known yet."""

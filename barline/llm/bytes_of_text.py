@@ -1,14 +1,14 @@
 """Texts of an Arrow batch as one byte array, and the vectorised helpers built on it.
 
 The operators that run Python inside tasks read a column's UTF-8 buffer as it lies in the batch.
-A batch is worked through in chunks of about a megabyte of whole texts, so memory is bounded by
+A batch is worked through in chunks of about 256 KB of whole texts, so memory is bounded by
 the longest single text and not by the batch.
 """
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

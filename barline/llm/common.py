@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bytes_of_text import chunks, column_bytes
 
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -314,5 +314,5 @@ links AS (
 ), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
-FROM documents JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)
+FROM (SELECT doc_id FROM documents) JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
