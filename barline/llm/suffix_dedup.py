@@ -315,10 +315,10 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     met = docs.hint("merge").join(lists, "id").select("id", "text", F.col("found.hash").alias("hashes"), F.col("found.packed").alias("places"))
     triples = stored(met.mapInArrow(_triples, "kind tinyint, hash bigint, id bigint, packed bigint, bytes binary"))
     named = triples.where("kind = 0").select("hash", "id", "packed", "bytes")
-    many = named.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").withColumn("hot", F.col("n") > HOT).drop("n")
-    classed = named.join(many, "hash")
-    plain = classed.where("NOT hot").select(F.col("hash").alias("key"), "id", "packed", "bytes")
-    runs = plain.unionByName(_dealt_on(classed.where("hot"))).repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "id bigint, run bigint")
+    # the few crowded anchors are told apart without moving the others' bytes
+    hot = stored(named.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"))
+    plain = named.join(hot, "hash", "left_anti").select(F.col("hash").alias("key"), "id", "packed", "bytes")
+    runs = plain.unionByName(_dealt_on(named.join(hot, "hash", "left_semi"))).repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "id bigint, run bigint")
     place, shift, count = (F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255)))
     earlier = triples.where("kind = 1").select("id", (F.shiftleft(place - shift, 8) + count - 1).alias("run"))
     return runs.unionByName(earlier)
