@@ -7,14 +7,13 @@ PRICE_FEATURES = [
     "SMA_20", "SMA_50", "SMA_200",
     "EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist", "RSI",
     "BB_middle", "BB_upper", "BB_lower", "BB_width", "BB_percent_b",
-    "ATR", "atr_pct", "true_range_pct",
-    "volume_sma_20", "volume_sma_50", "volume_ratio_20", "volume_ratio_50",
-    "volume_change_1d", "volume_zscore_20",
+    "ATR", "atr_pct",
+    "volume_sma_20", "volume_sma_50", "volume_ratio_20", "volume_ratio_50", "volume_change_1d", "volume_zscore_20",
     "close_to_sma_20", "close_to_sma_50", "close_to_sma_200", "sma20_to_sma50", "sma50_to_sma200",
     "momentum_5d", "momentum_10d", "momentum_20d", "momentum_60d",
     "drawdown_20d", "drawdown_60d", "price_position_20d", "price_position_60d",
-    "rolling_max_20d_ratio", "rolling_max_60d_ratio", "rolling_min_20d_ratio", "rolling_min_60d_ratio",
-    "high_low_range", "close_open_return", "gap_return",
+    "high_low_range", "close_open_return", "gap_return", "true_range_pct",
+    "rolling_max_20d_ratio", "rolling_min_20d_ratio", "rolling_max_60d_ratio", "rolling_min_60d_ratio",
     "obv", "obv_20d_change", "dollar_volume", "dollar_volume_sma_20",
 ]
 

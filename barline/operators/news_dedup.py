@@ -180,7 +180,10 @@ def _front(open_rows: DataFrame, block: int, crowds: bool) -> DataFrame:
         # the rank limit is applied before the shuffle too, so a hot day sends one block per task
         rank = F.row_number().over(W.partitionBy("ticker", "day").orderBy("node"))
         front = open_rows.withColumn("rank", rank).where(F.col("rank") <= block).drop("rank")
-    return front.join(first_holder, ["ticker", "url"], "left").withColumn(
+    # articles without URL wait for none, and all those of a ticker would meet in one partition
+    named = front.where("url <> ''").join(first_holder, ["ticker", "url"], "left")
+    bare = front.where("url = ''").withColumn("holder", F.lit(None).cast("bigint"))
+    return named.unionByName(bare).withColumn(
         "url_waits", F.coalesce(F.col("holder") < F.col("node"), F.lit(False))
     )
 
@@ -206,8 +209,9 @@ def kept_nodes(
         kept = decided.where("state = 1")
         kept_parts.append(kept.select("ticker", "node"))
         kept_urls = kept.where("url <> ''").select("ticker", "url").distinct()
-        rest = open_rows.join(decided.select("ticker", "node"), ["ticker", "node"], "left_anti").join(
-            kept_urls, ["ticker", "url"], "left_anti"
+        undecided = open_rows.join(decided.select("ticker", "node"), ["ticker", "node"], "left_anti")
+        rest = undecided.where("url <> ''").join(kept_urls, ["ticker", "url"], "left_anti").unionByName(
+            undecided.where("url = ''"), allowMissingColumns=False
         )
         if crowds:
             rest = cut_lineage(rest)

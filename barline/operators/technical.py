@@ -55,20 +55,16 @@ def ema_prefix(x: Column, alpha: float, seed_pos: int) -> Column:
     return F.sum(term).over(frame) * F.pow(F.lit(keep), F.col("_k"))
 
 
-def block_end(prefix: Column) -> Column:
-    """The prefix value at the end of the previous block."""
+def block_ends(prefix: Column) -> Column:
+    """The prefix values at the ends of all earlier blocks, oldest first: one for every 512 rows."""
     at_end = F.when(F.col("_k") == BLOCK - 1, prefix)
-    return F.last(at_end, ignorenulls=True).over(
-        _block_series().rowsBetween(W.unboundedPreceding, -1)
-    )
+    return F.collect_list(at_end).over(_block_series().rowsBetween(W.unboundedPreceding, -1))
 
 
-def ema_total(prefix: Column, carried: Column, alpha: float) -> Column:
+def ema_total(prefix: Column, ends: Column, alpha: float) -> Column:
+    """The block's own average and what is left of every earlier block."""
     keep = 1.0 - alpha
-    tail = F.coalesce(carried, F.lit(0.0))
-    for blocks in (1, 2):
-        older = F.lag(carried, BLOCK * blocks).over(_block_series())
-        tail = tail + F.coalesce(older, F.lit(0.0)) * F.lit(keep ** (BLOCK * blocks))
+    tail = F.aggregate(ends, F.lit(0.0), lambda total, end: total * F.lit(keep**BLOCK) + end)
     return prefix + tail * F.pow(F.lit(keep), F.col("_k") + 1)
 
 
@@ -78,7 +74,7 @@ def with_emas(df: DataFrame, specs) -> DataFrame:
         "*", *[ema_prefix(F.col(x), a, s).alias(f"_p_{out}") for out, x, a, s in specs]
     )
     second = first.select(
-        "*", *[block_end(F.col(f"_p_{out}")).alias(f"_c_{out}") for out, *_ in specs]
+        "*", *[block_ends(F.col(f"_p_{out}")).alias(f"_c_{out}") for out, *_ in specs]
     )
     third = second.select(
         "*",

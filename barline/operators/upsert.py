@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.files import write_bars
+from ..sources.files import exists, write_bars
 
 BAR_KEY = ["ticker", "date", "source", "interval"]
 
@@ -38,11 +38,9 @@ def upsert_bar_table(spark, path: str, incoming: DataFrame, stocks: DataFrame, o
     years = [r.y for r in incoming.select(F.year("date").alias("y")).distinct().collect() if r.y is not None]
     if not years:
         return
-    try:
+    if exists(spark, path):
         old = spark.read.parquet(path).where(F.col("year").isin(years)).drop("year")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    else:
         old = incoming.limit(0)
     columns = [c for c in incoming.columns if c in old.columns and c not in set(order)]
     write_bars(merge_bars(old.select(*columns), incoming, stocks, order), path)

@@ -481,13 +481,14 @@ def _answers(spark, sf, snapshot=None):
 
 ANSWER = {
     **SNAP, "last_day": SUMMARY["last_day"],
-    "answer": """SELECT u.ticker, CASE WHEN ok THEN 'ok' ELSE 'technical_snapshot' END AS status, u.sector, CASE WHEN ok THEN p.predicted_return END AS predicted_return,
+    "answer": """SELECT u.ticker, CASE WHEN ok THEN 'ok' WHEN known THEN 'technical_snapshot' ELSE 'missing_ticker' END AS status, u.sector, CASE WHEN ok THEN p.predicted_return END AS predicted_return,
         CASE WHEN has THEN p.predicted_direction END AS predicted_direction, CASE WHEN has THEN p.probability_up END AS probability_up,
         CASE WHEN ok THEN coalesce(least(abs(p.probability_up - 0.5) * 2, 1.0), least(abs(p.predicted_return) / 0.04, 1.0)) END AS confidence,
-        CASE WHEN ok AND coalesce(d.news_count, 0) > 0 AND u.sector <> 'ASIA' THEN 'full' WHEN ok THEN 'technical_only' ELSE 'technical_snapshot' END AS prediction_mode,
+        CASE WHEN ok AND coalesce(d.news_count, 0) > 0 AND u.sector <> 'ASIA' THEN 'full' WHEN ok THEN 'technical_only' WHEN known THEN 'technical_snapshot' END AS prediction_mode,
         ok AND coalesce(d.news_count, 0) > 0 AS nlp_available, CASE WHEN ok THEN coalesce(d.news_count, 0) ELSE 0 END AS news_count,
         CASE WHEN ok THEN coalesce(d.sentiment_mean, 0.0) ELSE 0.0 END AS sentiment_score, d.news_count AS day_count, d.sentiment_mean AS day_mood
-        FROM (SELECT *, sector <> 'AFRICA' AS has FROM universe) u JOIN predictions p USING (ticker) JOIN (SELECT ticker, sector <> 'AFRICA' AND predicted_return IS NOT NULL AS ok FROM predictions) k USING (ticker)
+        FROM (SELECT u.*, p.ticker IS NOT NULL AS known, u.sector <> 'AFRICA' AND p.ticker IS NOT NULL AS has, coalesce(p.sector <> 'AFRICA' AND predicted_return IS NOT NULL, false) AS ok
+              FROM universe u LEFT JOIN predictions p USING (ticker)) u LEFT JOIN predictions p USING (ticker)
         LEFT JOIN last_day d USING (ticker)""",
 }
 
@@ -495,7 +496,7 @@ ANSWER = {
 @query("predict_ticker", sql(f"""SELECT ticker, status, sector, {rnd('predicted_return')} AS predicted_return, predicted_direction, {rnd('probability_up')} AS probability_up,
     {rnd('confidence')} AS confidence, prediction_mode, nlp_available, news_count, {rnd('sentiment_score')} AS sentiment_score FROM answer""", **ANSWER))
 def predict_ticker(spark, sf):
-    out = _answers(spark, sf).join(derived.predictions(spark, sf).select("ticker"), "ticker", "left_semi")
+    out = _answers(spark, sf)
     return rounded(out.select(
         "ticker", "status", "sector", "predicted_return", "predicted_direction", "probability_up", "confidence", "prediction_mode", "nlp_available", "news_count", "sentiment_score"))
 
@@ -506,16 +507,16 @@ def predict_ticker(spark, sf):
     CASE prediction_mode WHEN 'technical_only' THEN 'Limited confidence because recent NLP/news signal is unavailable.'
     WHEN 'technical_snapshot' THEN 'Limited confidence because the trained model signal is unavailable for this ticker.' END AS confidence_note FROM answer""", **ANSWER))
 def prediction_mode(spark, sf):
-    out = _answers(spark, sf).join(derived.predictions(spark, sf).select("ticker"), "ticker", "left_semi")
+    out = _answers(spark, sf)
     return out.select("ticker", "prediction_mode", "message", "confidence_note")
 
 
 CLAMP = "greatest(-1.0, least(1.0, coalesce({0}, 0.0) / 0.08))"
 DRIVERS = {
     **ANSWER,
-    "base": f"""SELECT a.*, s.date, s.trend, s.m, s.ratio, s.sd, coalesce(day_count, 0) > 0 AS has_news, {CLAMP.format('s.close / nullif(s.s50, 0) - 1')} AS x1, {CLAMP.format('s.m')} AS x2,
+    "base": f"""SELECT a.*, s.date, coalesce(s.trend, 'No price signal') AS trend, s.m, s.ratio, s.sd, coalesce(day_count, 0) > 0 AS has_news, {CLAMP.format('s.close / nullif(s.s50, 0) - 1')} AS x1, {CLAMP.format('s.m')} AS x2,
         abs({CLAMP.format('(s.ratio - 1) / 2')}) AS x3, CASE WHEN coalesce(day_count, 0) > 0 THEN abs({CLAMP.format('day_mood')}) ELSE 0.0 END AS x4,
-        least(coalesce(s.sd, 0.0) / 0.08, 1.0) AS x5, coalesce(confidence, 0.0) AS x6 FROM answer a JOIN snap s USING (ticker)""",
+        least(coalesce(s.sd, 0.0) / 0.08, 1.0) AS x5, coalesce(confidence, 0.0) AS x6 FROM answer a LEFT JOIN snap s USING (ticker)""",
     "long": " UNION ALL ".join(
         f"SELECT ticker, {i} AS place, '{k}' AS driver, '{label}' AS label, {value} AS value, {status} AS status, x{i} AS score FROM base"
         for i, (k, label, value, status) in enumerate([
@@ -537,12 +538,13 @@ DRIVERS = {
 @query("prediction_drivers", sql(
     f"""SELECT l.ticker, place, driver, label, value, status, {rnd('score')} AS score, s.strongest,
         CASE WHEN st = 'technical_snapshot' THEN l.ticker || ' is shown in technical snapshot mode because model confidence is limited. The strongest available driver is ' || strongest || ', while news sentiment is unavailable.'
+             WHEN st = 'missing_ticker' THEN 'Technical signals are limited for ' || l.ticker || ', but latest price movement and volatility are still available when price features exist.'
              WHEN NOT has_news THEN modeled || ' in technical-only mode. The strongest available driver is ' || strongest || '. News sentiment is unavailable for this ticker.'
              ELSE modeled || '. The strongest available driver is ' || strongest || ', while latest news sentiment is ' || lower(mood) || '.' END AS summary
         FROM long l JOIN said s USING (ticker)""", **DRIVERS))
 def prediction_drivers(spark, sf):
     snapshot = _snapshot(spark, sf)
-    answers = _answers(spark, sf, snapshot).join(derived.predictions(spark, sf).select("ticker"), "ticker", "left_semi")
+    answers = _answers(spark, sf, snapshot)
     out = serving.prediction_drivers(snapshot, answers, _summary(spark, sf))
     return rounded(out.select("ticker", "place", "driver", "label", "value", "status", "score", "strongest", "summary"))
 
@@ -616,5 +618,5 @@ def position_summary(spark, sf):
         FROM pos LEFT JOIN answer USING (ticker)""", **ANSWER, pos=POSITION["pos"]))
 def position_with_signal(spark, sf):
     held = derived.positions(spark, sf).drop("probability_up")
-    answers = _answers(spark, sf).where("status <> 'missing_ticker'")
+    answers = _answers(spark, sf)
     return rounded(valuation.positions_with_signal(held, answers).select("position_id", "ticker", "probability_up"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import backtest, correlation, models, training, upsert
 from ..session import cut_lineage
-from ..sources.files import write_csv, write_json, write_parquet
+from ..sources.files import exists, write_csv, write_json, write_parquet
 
 
 def train_global(
@@ -116,11 +116,6 @@ class DailyUpdate:
         return asdict(self)
 
 
-def _exists(spark, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def daily_update(
     spark, root: str, stocks: DataFrame | None = None, landed_bars: DataFrame | None = None, skip=(),
     tickers=None, min_observations: int = 20, min_abs_correlation: float = 0.3, train: bool = False, **size,
@@ -135,7 +130,7 @@ def daily_update(
 
     def newest_path(name):
         base = str(PurePosixPath(root) / name)
-        if not _exists(spark, base):
+        if not exists(spark, base):
             return None, f"{base}/version=1"
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
@@ -165,7 +160,7 @@ def daily_update(
     else:
         upsert.upsert_bar_table(spark, bars_path, landed_bars, known)
         done.price_rows = upsert.bar_counts(landed_bars, known).first().rows_processed
-    bars = spark.read.parquet(bars_path).drop("year") if _exists(spark, bars_path) else None
+    bars = spark.read.parquet(bars_path).drop("year") if exists(spark, bars_path) else None
     if "correlations" in skip or bars is None:
         done.skipped_steps.append("correlations")
     else:
@@ -190,7 +185,7 @@ def daily_update(
         done.skipped_steps.append("model_training")
     if "prediction" in skip or source is None:
         done.skipped_steps.append("prediction")
-    elif not _exists(spark, f"{model_dir}/model"):
+    elif not exists(spark, f"{model_dir}/model"):
         done.skipped_steps.append("prediction_missing_model")
     else:
         artifact = spark.read.json(f"{model_dir}/artifact").first()

@@ -1,5 +1,6 @@
 """Session settings the jobs rely on."""
 
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,13 @@ def local_session(name: str = "barline", cores: str = "8", **conf) -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only without one (tests) take a fresh local one."""
+    """Use the shared folder the cluster names; only a local session without one takes a folder of its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barline-checkpoint-"))
 
 

@@ -1,6 +1,6 @@
 """Table scans by suffix and sinks that refuse to write nothing."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -12,18 +12,31 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
-def refuse_empty(df: DataFrame, what: str) -> DataFrame:
-    if df.isEmpty():
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _publish(df: DataFrame, path: str, what: str, write) -> None:
+    """Writes beside the table and moves there only rows that exist; the plan runs once."""
+    spark, staged, written = df.sparkSession, f"{path.rstrip('/')}.staged", Observation()
+    write(df.observe(written, F.count(F.lit(1)).alias("rows")), staged)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not written.get["rows"]:
+        fs.delete(source, True)
         raise ValueError(f"No {what} to write")
-    return df
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{staged} could not be moved to {path}")
 
 
 def write_parquet(df: DataFrame, path: str, what: str = "rows", partition_by=()) -> None:
-    refuse_empty(df, what).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    _publish(df, path, what, lambda rows, to: rows.write.mode("overwrite").partitionBy(*partition_by).parquet(to))
 
 
 def write_csv(df: DataFrame, path: str, what: str = "rows") -> None:
-    refuse_empty(df, what).write.mode("overwrite").option("header", True).csv(path)
+    _publish(df, path, what, lambda rows, to: rows.write.mode("overwrite").option("header", True).csv(to))
 
 
 def write_json(df: DataFrame, path: str) -> None:
