@@ -188,7 +188,8 @@ def score(docs: DataFrame, by_code: dict, weights: np.ndarray, bias: float, keep
     def run(data, offsets):
         cast = votes(data, offsets)
         codes = cast @ _PLACES
-        total = features(data, offsets) @ weights + bias
+        # summed row by row in a fixed order, so that equal texts get equal scores
+        total = (features(data, offsets) * weights).sum(axis=1, dtype=np.float64) + bias
         patterns = ["".join(map(str, row)) for row in cast.tolist()]
         return [patterns, np.array([by_code.get(c, 0.5) for c in codes.tolist()]), 1 / (1 + np.exp(-np.clip(total.astype(float), -60, 60)))]
 
