@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import change
-from ..operators import fusion, news_features, serving
+from ..operators import fusion, news_features, serving, technical
+from ..operators.news_dedup import deduplicate_news
 from ..sources import views
 from .sqlkit import NEGATIVE, POSITIVE
 
@@ -27,6 +28,17 @@ def daily(spark, sf) -> DataFrame:
     return news_features.daily_news(articles(spark, sf))
 
 
+def unique_daily(spark, sf) -> DataFrame:
+    """Daily news features with the vector columns, over de-duplicated articles."""
+    unique = deduplicate_news(views.news(spark, sf))
+    return news_features.daily_news(news_features.prepare_articles(unique, POSITIVE, NEGATIVE), vectors=True)
+
+
+def dataset(spark, sf) -> DataFrame:
+    """The model-ready table: technical features of every bar fused with daily news and metadata."""
+    return fusion.final_dataset(technical.price_features(views.bars(spark, sf)), unique_daily(spark, sf), views.universe(spark, sf))
+
+
 def scored_news(spark, sf) -> DataFrame:
     return serving.merge_sentiment(views.news(spark, sf), daily(spark, sf))
 

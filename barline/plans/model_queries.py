@@ -1,7 +1,8 @@
 """Registered queries that fit models, and the incremental daily run.
 
-Model sizes are arguments; these queries use small ones so that a run is quick. Trees differ
-between libraries, so only their inputs, counts and metric formulas are comparable elsewhere.
+They train on the fused dataset, all its features and every labelled row, with forests of the
+fixed sizes. Trees differ between libraries, so only their inputs, counts and metric formulas are
+comparable elsewhere.
 """
 
 from pyspark.sql import functions as F
@@ -13,9 +14,7 @@ from . import derived, price_queries, training_jobs
 from .sqlkit import sql
 
 QUERIES, ORACLES = {}, {}
-FOREST = {"kind": "forest", "numTrees": 8, "maxDepth": 4}
-BOOST = {"kind": "boosted", "maxIter": 4, "maxDepth": 3}
-FEATURES = ["close", "r1", "r5", "volume"]
+FOREST = {"kind": "forest"}
 
 
 def query(name, oracle=None):
@@ -28,15 +27,15 @@ def query(name, oracle=None):
     return register
 
 
-def _rows(spark, sf):
-    # written once: fitting reads its rows many times
-    columns = ["ticker", "date", "next_day_price", "target_return", "direction", *FEATURES]
-    return cut_lineage(backtest.training_rows(derived.labelled(spark, sf)).select(*columns))
+def _dataset(spark, sf):
+    """The fused dataset, written once as fitting reads its rows many times, and its usable features."""
+    rows = cut_lineage(derived.dataset(spark, sf))
+    return rows, models.usable_features(rows, backtest.feature_columns(rows))
 
 
-def _latest_source(spark, sf):
-    rows = derived.labelled(spark, sf).join(views.universe(spark, sf).select("ticker", "sector"), "ticker")
-    return cut_lineage(rows.select("ticker", "date", "sector", "next_day_price", "target_return", "direction", *FEATURES))
+def _rows(spark, sf):
+    rows, features = _dataset(spark, sf)
+    return backtest.training_rows(rows), features
 
 
 LABELLED_COUNTS = "SELECT ticker, count(*) AS rows, count(*) AS {0} FROM labelled WHERE target_return IS NOT NULL AND next_day_price IS NOT NULL GROUP BY ticker"
@@ -44,17 +43,17 @@ LABELLED_COUNTS = "SELECT ticker, count(*) AS rows, count(*) AS {0} FROM labelle
 
 @query("regression_model", sql(LABELLED_COUNTS.format("predicted")))
 def regression_model(spark, sf):
-    rows = _rows(spark, sf)
-    model = models.fit_return_model(rows, FEATURES, **BOOST)
-    scored = model.transform(models._as_double(rows, FEATURES))
+    rows, features = _rows(spark, sf)
+    model = models.fit_return_model(rows, features, **FOREST)
+    scored = model.transform(models._as_double(rows, features))
     return scored.groupBy("ticker").agg(F.count("*").alias("rows"), F.count("predicted_return").alias("predicted"))
 
 
 @query("direction_classifier", sql(LABELLED_COUNTS.format("scored")))
 def direction_classifier(spark, sf):
-    rows = _rows(spark, sf)
-    model = models.fit_direction_classifier(rows, FEATURES, **FOREST)
-    scored = models.score_direction(model, models._as_double(rows, FEATURES))
+    rows, features = _rows(spark, sf)
+    model = models.fit_direction_classifier(rows, features, **FOREST)
+    scored = models.score_direction(model, models._as_double(rows, features))
     return scored.groupBy("ticker").agg(
         F.count("*").alias("rows"), F.count_if(F.col("probability_up").between(0, 1)).alias("scored")
     )
@@ -62,26 +61,27 @@ def direction_classifier(spark, sf):
 
 @query("feature_importance_top20")
 def feature_importance_top20(spark, sf):
-    return models.feature_importance(models.fit_return_model(_rows(spark, sf), FEATURES, **FOREST), FEATURES)
+    rows, features = _rows(spark, sf)
+    return models.feature_importance(models.fit_return_model(rows, features, **FOREST), features)
 
 
 @query("cross_validate_returns")
 def cross_validate_returns(spark, sf):
-    return models.cross_validate_returns(_rows(spark, sf), FEATURES, n_splits=3, top_n=5, **FOREST)
+    return models.cross_validate_returns(*_rows(spark, sf), **FOREST)
 
 
 @query("cross_validate_direction")
 def cross_validate_direction(spark, sf):
-    return models.cross_validate_direction(_rows(spark, sf), FEATURES, n_splits=3, **FOREST)
+    return models.cross_validate_direction(*_rows(spark, sf), **FOREST)
 
 
 @query("predict_latest")
 def predict_latest(spark, sf):
-    rows = _latest_source(spark, sf)
+    rows, features = _dataset(spark, sf)
     labelled = backtest.training_rows(rows)
-    model = models.fit_return_model(labelled, FEATURES, **FOREST)
-    classifier = models.fit_direction_classifier(labelled, FEATURES, **FOREST)
-    return models.predict_latest(model, rows, FEATURES, classifier, model_type="forest")
+    model = models.fit_return_model(labelled, features, **FOREST)
+    classifier = models.fit_direction_classifier(labelled, features, **FOREST)
+    return models.predict_latest(model, rows, features, classifier, model_type="forest")
 
 
 def _graph_training(spark, sf):
@@ -110,7 +110,7 @@ def predict_directions(spark, sf):
 @query("train_global")
 def train_global(spark, sf):
     """The whole job with its stored artifacts, in a fresh folder below the shared one."""
-    return training_jobs.train_global(_latest_source(spark, sf), run_folder(spark), n_splits=2, top_n=5, **FOREST)
+    return training_jobs.train_global(_dataset(spark, sf)[0], run_folder(spark), **FOREST)
 
 
 @query("daily_update", sql(
