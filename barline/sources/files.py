@@ -1,6 +1,6 @@
 """Table scans by suffix and sinks that refuse to write nothing."""
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -17,13 +17,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _publish(df: DataFrame, path: str, what: str, write) -> None:
+def _publish(df: DataFrame, path: str, what: str, kind: str, write) -> None:
     """Writes beside the table and moves there only rows that exist; the plan runs once."""
-    spark, staged, written = df.sparkSession, f"{path.rstrip('/')}.staged", Observation()
-    write(df.observe(written, F.count(F.lit(1)).alias("rows")), staged)
+    spark, staged = df.sparkSession, f"{path.rstrip('/')}.staged"
+    write(df, staged)
+    written = spark.read.schema(df.schema).format(kind).option("header", True).load(staged)
     source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not written.get["rows"]:
+    if written.isEmpty():
         fs.delete(source, True)
         raise ValueError(f"No {what} to write")
     fs.delete(target, True)
@@ -32,11 +33,11 @@ def _publish(df: DataFrame, path: str, what: str, write) -> None:
 
 
 def write_parquet(df: DataFrame, path: str, what: str = "rows", partition_by=()) -> None:
-    _publish(df, path, what, lambda rows, to: rows.write.mode("overwrite").partitionBy(*partition_by).parquet(to))
+    _publish(df, path, what, "parquet", lambda rows, to: rows.write.mode("overwrite").partitionBy(*partition_by).parquet(to))
 
 
 def write_csv(df: DataFrame, path: str, what: str = "rows") -> None:
-    _publish(df, path, what, lambda rows, to: rows.write.mode("overwrite").option("header", True).csv(to))
+    _publish(df, path, what, "csv", lambda rows, to: rows.write.mode("overwrite").option("header", True).csv(to))
 
 
 def write_json(df: DataFrame, path: str) -> None:
