@@ -18,10 +18,13 @@ document at a smaller start). Suffixes need to be told apart only to a depth of
 
 An anchor may be in any share of the documents: counting it sends one row per task, and an anchor
 with more than HOT triples is dealt on by the 75 bytes that suffixes of near shifts have in common.
+Where more than HOT triples share these too (a passage with a different surrounding in each
+document), their strings are told apart one by one: the smallest start of each is a partial
+aggregate, joined back to find the later ones. So no group of more than HOT triples meets in a task.
 
 Null and empty texts have no bytes. Rows that share a doc_id count as one document that starts at
-the same place, so repeated rows don't remove each other. A null doc_id sorts before all others.
-Other columns are not read.
+the same place, so repeated rows don't remove each other. Rows without doc_id sort before all
+others, by a hash of their text; each text is a document of its own. Other columns are not read.
 """
 
 import hashlib
@@ -270,6 +273,23 @@ def _repeats(batches):
         yield made
 
 
+def _strings(batches):
+    """Every start of the triples: 128 bits of its string, id and place."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        place, shift, count = _unpack(batch.column(1).to_numpy(zero_copy_only=False))
+        data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
+        offsets = np.append(0, np.cumsum(count + LENGTH - 1))
+        for a, b in chunks(offsets):
+            part, counts = data[offsets[a] : offsets[b]], count[a:b]
+            owner = np.repeat(np.arange(a, b), counts)
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            starts = offsets[owner] - offsets[a] + step
+            one, two = (span_hashes(part, starts, starts + LENGTH, seed) for seed in (1, 5))
+            columns = [one.view(np.int64), two.view(np.int64), ids[owner], place[owner] - shift[owner] + step]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "id", "start"])
+
+
 def _spans_of_keys(keys: np.ndarray, rows: int = 512):
     """Cuts of a sorted array into pieces of whole keys, about `rows` long."""
     edges = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, int)
@@ -311,19 +331,32 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     asked = docs.mapInArrow(_asked, "key bigint, id bigint, packed bigint, kind tinyint")
     repeated = asked.repartition("key").sortWithinPartitions("key").mapInArrow(_answered, "hash bigint, id bigint, packed bigint")
-    lists = repeated.groupBy("id").agg(F.collect_list(F.struct("hash", "packed")).alias("found"))
+    lists = repeated.groupBy("id").agg(F.collect_set(F.struct("hash", "packed")).alias("found"))
     met = docs.hint("merge").join(lists, "id").select("id", "text", F.col("found.hash").alias("hashes"), F.col("found.packed").alias("places"))
     triples = stored(met.mapInArrow(_triples, "kind tinyint, hash bigint, id bigint, packed bigint, bytes binary"))
     named = triples.where("kind = 0").select("hash", "id", "packed", "bytes")
     # the few crowded anchors are told apart without moving the others' bytes
     hot = stored(named.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"))
     plain = named.join(hot, "hash", "left_anti").select(F.col("hash").alias("key"), "id", "packed", "bytes")
-    runs = plain.unionByName(_dealt_on(named.join(hot, "hash", "left_semi"))).repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "id bigint, run bigint")
+    dealt = stored(_dealt_on(named.join(hot, "hash", "left_semi")))
+    crowded = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    grouped = plain.unionByName(dealt.join(crowded, "key", "left_anti"))
+    runs = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "id bigint, run bigint")
+    runs = runs.unionByName(_later_starts(dealt.join(crowded, "key", "left_semi")))
     place, shift, count = (F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255)))
     earlier = triples.where("kind = 1").select("id", (F.shiftleft(place - shift, 8) + count - 1).alias("run"))
     return runs.unionByName(earlier)
 
 
+def _later_starts(crowded: DataFrame) -> DataFrame:
+    """Like _repeats, for triples of which any number share a key: no group of them meets in a task."""
+    strings = crowded.select("id", "packed", "bytes").mapInArrow(_strings, "one bigint, two bigint, id bigint, start bigint")
+    first = strings.groupBy("one", "two").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a merge join at every size, of inputs shuffled for it alone, so that adaptive execution can split the starts of one string
+    met = strings.hint("merge").join(stored(first), ["one", "two"]).where(F.struct("id", "start") != F.col("first"))
+    return met.select("id", F.shiftleft("start", 8).alias("run"))
+
+
 def _dealt_on(hot: DataFrame) -> DataFrame:
     """Triples of crowded anchors in parts of SHIFTS neighbouring shifts, keyed by the bytes their strings share."""
     shift, count = F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255))
@@ -343,11 +376,11 @@ def _dealt_on(hot: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; `docs` has doc_id and text."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
-    lists = repeated_starts(docs).groupBy("id").agg(F.collect_list("run").alias("runs"))
-    met = docs.hint("merge").join(lists, "id", "left").select("id", "text", "runs")
-    done = met.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
+    own = F.lit(_NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    docs = docs.select("doc_id", F.coalesce("doc_id", own).alias("id"), "text")
+    lists = repeated_starts(docs.select("id", "text")).groupBy("id").agg(F.collect_set("run").alias("runs"))
+    met = docs.hint("merge").join(lists, "id", "left").select("doc_id", "text", "runs")
+    return met.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def op2_suffix_array_dedup(spark, sf_dir) -> DataFrame:

@@ -38,6 +38,44 @@ def test_shared_passages_in_many_contexts(spark, monkeypatch, hot):
     assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()} == removed(texts)
 
 
+def test_passage_in_unlike_documents_stays_out_of_one_group(spark, monkeypatch):
+    original, limit = suffix_dedup._repeats, 16
+
+    def watched(batches):
+        sizes = {}
+
+        def counted():
+            for batch in batches:
+                for key in batch.column(0).to_pylist():
+                    sizes[key] = sizes.get(key, 0) + 1
+                yield batch
+
+        yield from original(counted())
+        if sizes and max(sizes.values()) > limit:
+            raise AssertionError(f"{max(sizes.values())} triples in one group")
+
+    monkeypatch.setattr(suffix_dedup, "HOT", limit)
+    monkeypatch.setattr(suffix_dedup, "_repeats", watched)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgé ") for _ in range(n))
+    passage = text(180)
+    texts = [text(rng.randint(100, 300)) + passage + text(rng.randint(100, 300)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()} == removed(texts)
+
+
+def test_texts_without_doc_id_are_cut_one_by_one(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(150)
+    texts = [text(130 * k) + passage + text(900 - 130 * k) for k in range(4)]
+    df = spark.createDataFrame([(None, t) for t in texts * 2], "doc_id bigint, text string").repartition(3)
+    rows = suffix_dedup.remove_repeats(df).collect()
+    assert all(r.doc_id is None and r.n_bytes == 1050 for r in rows)
+    # the first of the texts keeps the passage, in both of its rows
+    assert sorted(r.n_removed for r in rows)[:2] == [0, 0] and all(150 <= n < 160 for n in sorted(r.n_removed for r in rows)[2:])
+
+
 def test_anchor_of_a_string_depends_on_the_string_alone():
     rng = random.Random(1)
     body = "".join(rng.choice("ab ") for _ in range(100)).encode()
