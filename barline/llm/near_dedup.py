@@ -1,19 +1,21 @@
 """MinHash near-duplicates by fast similarity sketching, banding and exact verification.
 
 A document's set holds its distinct five-word shingles (64-bit hashes) after lower-casing A-Z.
-Documents are linked where their sets have a Jaccard similarity of 0.85 or more.
+Documents are linked where their sets have a Jaccard similarity of PERCENT per cent or more, or of the
+percentage that the caller names.
 
 * Sketching: in round i every shingle is thrown into a bin (rounds T to 2T - 1 serve one bin each),
   and a bin keeps its smallest (round, hash) value, so after 2T rounds no bin is empty and a text
   of n shingles needs about n + T log T throws. Two sketches agree in a bin with probability J.
-* Banding: 28 bands of 5 bins. A pair at the threshold shares no band with probability 7e-8.
+* Banding: bands of the most bins for which a pair at the threshold shares none with probability
+  NO_BAND at most: 28 of 5 at 85 per cent (7e-8), 35 of 4 at 80 (1e-8).
 * Equal sets are one class, told by 128 bits, so copies never meet in pairs.
 * A bucket's members are first verified against its smallest document only. Only members of
   different components are then verified with each other. In crowded buckets a document is first
   dropped where too many of its shingles occur in no other crowded document: no partner in a
   crowded bucket could reach the threshold. Every drop is exact.
-* Pairs are verified only where their sketches agree in 98 of 140 bins; at the threshold 119 are
-  expected, and fewer than 98 come once in a million.
+* Pairs are verified only where their sketches agree in as many bins as a pair at the threshold
+  reaches but with probability FEW_EQUAL: 97 of 140 at 85 per cent, 88 at 80.
 * Verification intersects the full shingle sets of both texts.
 
 Texts without words (null, empty, blank) have an empty set and are linked with nothing. Rows that
@@ -21,6 +23,9 @@ share a doc_id count as one document whose links are pooled. A row without doc_i
 its component is null and it is kept. Other columns are not read.
 """
 
+from math import comb
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,8 +34,28 @@ from .bytes_of_text import LOWER, WHITE, chunks, combine, column_bytes, mix, per
 from .common import bound_batches, documents, map_texts
 from .storage import components, stored
 
-SHINGLE, BINS, BAND, PERCENT, CROWD, LEAST_EQUAL, BLOCK = 5, 140, 5, 85, 16, 98, 256
-_BANDS = BINS // BAND
+SHINGLE, BINS, PERCENT, CROWD, BLOCK = 5, 140, 85, 16, 256
+#: Probabilities that a pair at the threshold is missed by the bands and by the test of the sketches.
+NO_BAND, FEW_EQUAL = 1e-7, 1e-6
+
+
+class Screen(NamedTuple):
+    """A threshold in per cent, bins of a band, and bins in which the sketches of a pair must agree."""
+
+    percent: int
+    band: int
+    least_equal: int
+
+
+def screen(percent: int) -> Screen:
+    p, below, least = percent / 100, 0.0, 0
+    band = max(w for w in range(1, BINS + 1) if BINS % w == 0 and (1 - p**w) ** (BINS // w) <= NO_BAND)
+    for k in range(BINS):
+        below += comb(BINS, k) * p**k * (1 - p) ** (BINS - k)
+        if below > FEW_EQUAL:
+            break
+        least = k + 1
+    return Screen(percent, band, least)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +97,17 @@ def sketches(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, BINS)
 
 
-def _describe(data, offsets):
-    n = len(offsets) - 1
+def _describe(data, offsets, band: int):
+    n, n_bands = len(offsets) - 1, BINS // band
     values, owners = shingle_sets(data, offsets)
     sizes = np.bincount(owners, minlength=n).astype(np.int64)
     one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     np.add.at(one, owners, mix(values + np.uint64(1)))
     np.add.at(two, owners, mix(values ^ np.uint64(0xD6E8FEB86659FD93)))
-    sketch = sketches(values, owners, n).reshape(n, _BANDS, BAND)
-    bands = mix((sketch * (seeded(41, BAND) | np.uint64(1))).sum(axis=2, dtype=np.uint64) ^ seeded(43, _BANDS))
+    sketch = sketches(values, owners, n).reshape(n, n_bands, band)
+    bands = mix((sketch * (seeded(41, band) | np.uint64(1))).sum(axis=2, dtype=np.uint64) ^ seeded(43, n_bands))
     filled = sizes > 0
-    ends = np.concatenate([[0], np.cumsum(filled * _BANDS)]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(filled * n_bands)]).astype(np.int32)
     listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[filled].ravel().view(np.int64)))
     # two bytes of each bin's mixed value are enough to estimate a similarity
     short = mix(sketch.reshape(n, BINS)[filled].ravel()).astype(np.uint16).view(np.int16)
@@ -90,14 +115,14 @@ def _describe(data, offsets):
     return [sizes, one.view(np.int64), two.view(np.int64), listed, pa.ListArray.from_arrays(pa.array(ends), pa.array(short))]
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, band: int) -> DataFrame:
     """doc_id, set size, 128-bit set key, band keys and two bytes of each sketch bin, of each document."""
     return map_texts(
-        docs, _describe, "n_shingles bigint, key_one bigint, key_two bigint, bands array<bigint>, sketch array<smallint>"
+        docs, lambda data, offsets: _describe(data, offsets, band), "n_shingles bigint, key_one bigint, key_two bigint, bands array<bigint>, sketch array<smallint>"
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold; `texts` has doc_id and text."""
     bound_batches(pairs.sparkSession)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -115,7 +140,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 _, place, _ = np.intersect1d(keys_a, keys_b, assume_unique=True, return_indices=True)
                 both = np.bincount(sets[0][1][place], minlength=j - i)
                 sizes = np.bincount(sets[0][1], minlength=j - i) + np.bincount(sets[1][1], minlength=j - i)
-                good[i:j] = 100 * both >= PERCENT * (sizes - both)
+                good[i:j] = 100 * both >= percent * (sizes - both)
             rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
             yield rows.filter(pa.array(good))
 
@@ -123,11 +148,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "a bigint, b bigint")
 
 
-def _worth_checking(a: str, b: str):
-    """Sizes allow the threshold, and so do the sketches: a linked pair agrees in fewer than LEAST_EQUAL bins once in 10**6."""
+def _worth_checking(a: str, b: str, by: Screen):
+    """Sizes allow the threshold, and so do the sketches."""
     size_a, size_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     equal = F.size(F.filter(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: x == y), lambda same: same))
-    return (100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b)) & (equal >= LEAST_EQUAL)
+    return (100 * F.least(size_a, size_b) >= by.percent * F.greatest(size_a, size_b)) & (equal >= by.least_equal)
 
 
 def _first_shared(a: str, b: str):
@@ -147,7 +172,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").hint("merge").join(ids, "doc_id", "left_semi")
 
 
-def _open_members(members: DataFrame, docs: DataFrame) -> DataFrame:
+def _open_members(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Members of buckets, without those of crowded buckets that can have no partner there."""
     crowded = members.where(F.col("size") >= CROWD)
     ids = stored(crowded.select(F.col("rep").alias("doc_id"), "n_shingles").distinct())
@@ -159,7 +184,7 @@ def _open_members(members: DataFrame, docs: DataFrame) -> DataFrame:
         .where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     )
     closed = stored(
-        alone.join(ids, "doc_id").where(100 * (F.col("n_shingles") - F.col("alone")) < PERCENT * F.col("n_shingles"))
+        alone.join(ids, "doc_id").where(100 * (F.col("n_shingles") - F.col("alone")) < percent * F.col("n_shingles"))
         .select(F.col("doc_id").alias("rep"))
     )
     return members.where(F.col("size") < CROWD).unionByName(crowded.join(closed, "rep", "left_anti").select(members.columns))
@@ -170,7 +195,7 @@ def _matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _tile_links(side: np.ndarray, cross: bool, reps, roots, sizes, bands, sketch, data, offsets):
+def _tile_links(side: np.ndarray, cross: bool, reps, roots, sizes, bands, sketch, data, offsets, by: Screen):
     """Links between members of different roots in a tile, at most one for each pair of roots that meet."""
     order = np.argsort(side, kind="stable")
     first = order[: int((side == side.min()).sum())] if cross else order
@@ -191,22 +216,22 @@ def _tile_links(side: np.ndarray, cross: bool, reps, roots, sizes, bands, sketch
     found = []
     for n, i in enumerate(first.tolist()):
         others = rest if cross else order[n + 1 :]
-        likely = (roots[others] != roots[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= PERCENT * np.maximum(sizes[others], sizes[i]))
+        likely = (roots[others] != roots[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= by.percent * np.maximum(sizes[others], sizes[i]))
         others = others[likely]
         others = others[(bands[others] == bands[i]).any(axis=1)]
-        others = others[(sketch[others] == sketch[i]).sum(axis=1) >= LEAST_EQUAL]
+        others = others[(sketch[others] == sketch[i]).sum(axis=1) >= by.least_equal]
         for j in others.tolist():
             a, b = top(int(roots[i])), top(int(roots[j]))
             if a == b:
                 continue
             both = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
-            if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
+            if 100 * both >= by.percent * (sizes[i] + sizes[j] - both):
                 up[max(a, b)] = min(a, b)
                 found.append((int(reps[i]), int(reps[j])))
     return found
 
 
-def _crowded_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
+def _crowded_links(rest: DataFrame, texts: DataFrame, by: Screen) -> DataFrame:
     """Links between members of different roots that share a crowded bucket.
 
     Members meet in tiles of two blocks of those that have a leader in common, so no pair is ever
@@ -233,14 +258,14 @@ def _crowded_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
         if not cross or len(np.unique(numbers["own"])) == 2:
             found = _tile_links(
                 numbers["own"], cross, numbers["rep"], numbers["root"], numbers["n_shingles"],
-                _matrix(group["bands"], _BANDS), _matrix(group["sketch"], BINS), data, offsets,
+                _matrix(group["bands"], BINS // by.band), _matrix(group["sketch"], BINS), data, offsets, by,
             )
         return pa.table({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate(("a", "b"))})
 
     return dealt.groupBy("lead", "low", "high").applyInArrow(tile, "a bigint, b bigint")
 
 
-def link(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, described: DataFrame, by: Screen) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (key_one, key_two, n_shingles, rep), and the components (id, root) of linked reps."""
     classes = stored(
         described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key_one", "key_two", "n_shingles")
@@ -249,7 +274,7 @@ def link(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
     banded = classes.select("rep", "n_shingles", F.posexplode("bands").alias("place", "band"))
     shared = stored(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
     members = stored(banded.join(shared, "band").select("band", "place", "rep", "n_shingles", "size"))
-    members = _open_members(members, docs)
+    members = _open_members(members, docs, by.percent)
     leaders = members.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
     looks = classes.select(F.col("rep").alias("look"), "bands", "sketch")
     led = stored(members.drop("size").join(stored(leaders), "band").join(looks, F.col("rep") == F.col("look")).drop("look"))
@@ -257,10 +282,10 @@ def link(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     heads = led.where("rep = lead").alias("h")
     star = stored(
-        led.where("rep <> lead").alias("m").join(heads, (F.col("m.band") == F.col("h.band")) & _worth_checking("m", "h"))
+        led.where("rep <> lead").alias("m").join(heads, (F.col("m.band") == F.col("h.band")) & _worth_checking("m", "h", by))
         .select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b")).distinct()
     )
-    first = stored(_verified(star, texts))
+    first = stored(_verified(star, texts, by.percent))
     roots = components(first)
 
     placed = led.where("rep <> lead").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -270,21 +295,21 @@ def link(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
     across = stored(
         few.alias("m").join(
             few.alias("o"),
-            (F.col("m.band") == F.col("o.band")) & (F.col("m.root") < F.col("o.root")) & _first_shared("m", "o") & _worth_checking("m", "o"),
+            (F.col("m.band") == F.col("o.band")) & (F.col("m.root") < F.col("o.root")) & _first_shared("m", "o") & _worth_checking("m", "o", by),
         )
         .select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b")).distinct()
     )
-    second = stored(_verified(across, texts).unionByName(_crowded_links(rest.where(F.col("size") >= CROWD), texts)))
+    second = stored(_verified(across, texts, by.percent).unionByName(_crowded_links(rest.where(F.col("size") >= CROWD), texts, by)))
     if not second.isEmpty():
         roots = components(first.unionByName(second))
     return classes, roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; `docs` has doc_id and text."""
-    docs = docs.select("doc_id", "text")
-    described = stored(describe(docs))
-    classes, roots = link(docs, described)
+    docs, by = docs.select("doc_id", "text"), screen(percent)
+    described = stored(describe(docs, by.band))
+    classes, roots = link(docs, described, by)
     named = stored(
         classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         .select("key_one", "key_two", "n_shingles", F.coalesce("root", "rep").alias("component"))

@@ -13,6 +13,10 @@ from barline.llm.common import documents
 from barline.llm.storage import stored
 
 
+#: Similarity, in per cent, from which the pipeline takes documents for near copies.
+NEAR_PERCENT = 85
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """A row's columns in one, so that an operator's own names can't clash with them."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
@@ -34,7 +38,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without doc_id can't be told apart by it; they all stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 

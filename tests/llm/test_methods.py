@@ -1,6 +1,7 @@
 """The methods' own parts: tiles, covers, labels, held-out accuracy."""
 
 import random
+from math import comb
 
 import numpy as np
 import pytest
@@ -115,6 +116,30 @@ def test_crowded_group_of_near_copies(spark, monkeypatch):
     assert [r.component_id for r in near_dedup.near_duplicates(df).orderBy("doc_id").collect()] == root
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_screens_lose_few_pairs_at_the_threshold(percent):
+    by, p = near_dedup.screen(percent), percent / 100
+    assert (1 - p**by.band) ** (140 // by.band) <= 1e-7
+    below = sum(comb(140, k) * p**k * (1 - p) ** (140 - k) for k in range(by.least_equal))
+    assert below <= 1e-6 < below + comb(140, by.least_equal) * p**by.least_equal * (1 - p) ** (140 - by.least_equal)
+
+
+def test_pairs_between_two_thresholds(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(40):  # 196 shingles, 20 of them changed: 176 of 216 shared, 0.815
+        base = [word() for _ in range(200)]
+        copy = list(base)
+        for place in (20, 60, 100, 140):
+            copy[place] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for percent, step in ((80, 2), (85, 1)):
+        got = [r.component_id for r in near_dedup.near_duplicates(df, percent).orderBy("doc_id").collect()]
+        assert got == [k // step * step for k in range(80)]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 4999), (4999, 5001)]
     random.Random(2).shuffle(links)
