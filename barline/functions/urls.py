@@ -53,3 +53,44 @@ def logo_candidates(logo_url: Column, domain: Column, website: Column) -> Column
             )
         )
     )
+
+
+_URL = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose `.` and `..` steps are taken; steps above the root are dropped."""
+    steps = F.split(path, "/")
+    taken = F.aggregate(
+        steps, F.array(F.lit("")),
+        lambda done, step: F.when(step == ".", done)
+        .when(step == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done))
+        .otherwise(F.concat(done, F.array(step))),
+    )
+    folder = F.element_at(steps, -1).isin(".", "..")
+    joined = F.array_join(F.slice(taken, F.lit(2), F.size(taken)), "/")
+    return F.when(folder & (joined != "") & ~F.endswith(joined, F.lit("/")), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def joined_url(base: Column, link: Column) -> Column:
+    """`link` as seen from the page `base`, absolute where `base` is; an empty link is the page itself."""
+    def part(url, k):
+        return F.regexp_extract(url, _URL, k)
+
+    scheme = F.lower(part(base, 1))
+    start = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(part(base, 2) != "", F.concat(F.lit("//"), part(base, 2))).otherwise(""))
+    own_path, base_path = part(link, 3), part(base, 3)
+    folder = F.regexp_extract(base_path, "(?s)^(.*/)", 1)
+    rooted = F.when(F.startswith(own_path, F.lit("/")), own_path).otherwise(
+        F.concat(F.when((folder == "") & (part(base, 2) != ""), "/").otherwise(folder), own_path)
+    )
+    path = F.when(F.contains(rooted, F.lit("/.")), F.concat(F.lit("/"), _without_dots(F.substring(rooted, 2, 1 << 30)))).otherwise(rooted)
+    tail = F.concat(part(link, 4), part(link, 5))
+    return (
+        F.when(link == "", base)
+        .when(part(link, 1) != "", link)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), link))
+        .when(own_path != "", F.concat(start, path, tail))
+        .when(part(link, 4) != "", F.concat(start, base_path, tail))
+        .otherwise(F.concat(start, base_path, part(base, 4), part(link, 5)))
+    )

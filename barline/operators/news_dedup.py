@@ -2,28 +2,36 @@
 
 An article is kept unless an earlier *kept* article of its ticker has the same canonical URL, or
 an earlier kept article of the same ticker and date has a matching title. That is the
-first-come independent set of a conflict graph, so it can be settled in rounds:
-
-1. articles equal in (ticker, URL, date, title words) fold into their first one by a partial
-   aggregate, so copies never travel (those with neither URL nor title words stay as they are);
-2. every round takes the first `block` undecided articles of each (ticker, date) and settles
-   them in one bounded task; an article whose URL has an earlier undecided holder waits;
-3. the newly kept articles then strike later ones, by an equi-join on (ticker, URL) and, only
-   for days with more articles than one block, by a join on shared rare title words.
-
-No task ever holds more than `block` articles of a day, and no pair is formed between two
-undecided articles.
+first-come independent set of a conflict graph, settled on the graph itself:
+
+1. Articles equal in (ticker, URL, day, title words) fold into their first one by a partial
+   aggregate, so copies never travel (those with neither URL nor title words stay apart).
+2. Articles of one day with the same words are a title class, named by its first article; of a
+   class, as of a URL, one article at most is kept, so both act as hubs and need no pairs.
+   Edges between unlike classes come from one set-similarity join per day: words ordered by
+   their document frequency, rarest first, with prefix, size and position filters.
+3. A round keeps every article that is the first open one of its URL, its class and all
+   neighbouring classes, and strikes all other open articles of these. So every article whose
+   earlier neighbours are all decided is decided; rounds follow the longest chain of conflicts.
+4. Crowded days enter in prefixes of growing size: what the kept articles match is struck before
+   the rest is compared with itself, so a crowd of like titles never meets all its pairs.
+
+Every round adds its kept articles to one stored table, which is the result.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..constants import TITLE_MIN_JACCARD, TITLE_MIN_TOKENS, TITLE_SIMILARITY
 from ..functions.numeric import safe_div
 from ..functions.text import canonical_url, normalize_ticker, text_or_empty, title_tokens
-from ..session import cut_lineage
+from ..session import run_folder, written
 
-BLOCK = 512
-DECISION = "ticker string, node bigint, url string, state int"
+#: Articles of a day that enter first, and how much larger each further prefix is.
+PREFIX, GROWTH = 4096, 4
+#: Shares of a day at which a prefix may end.
+CUTS = [1 / GROWTH**k for k in range(12, 0, -1)]
+KEPT = StructType([StructField("ticker", StringType()), StructField("node", LongType())])
 
 
 def dedup_keys(news: DataFrame, order: str = "ingest_order") -> DataFrame:
@@ -49,192 +57,154 @@ def titles_match(a: Column, b: Column, threshold: float = TITLE_SIMILARITY) -> C
     return (F.size(a) > 0) & ((a == b) | near)
 
 
-class _Day:
-    """One day's block, walked in order: what is kept so far, and what has to wait."""
-
-    def __init__(self, threshold):
-        self.threshold = threshold
-        self.titles, self.holders = [], {}  # word sets with their state; word -> their places
-        self.urls, self.waiting_urls = set(), set()
-
-    def decide(self, url, words, url_waits):
-        """1 keeps the article, 0 drops it, None leaves it to a later round."""
-        state = 0 if url and url in self.urls else self._by_title(words)
-        if state == 1 and (url_waits or (url and url in self.waiting_urls)):
-            state = None
-        if state == 0:
-            return 0
-        if url:
-            (self.urls if state == 1 else self.waiting_urls).add(url)
-        if words:
-            for word in words:
-                self.holders.setdefault(word, []).append(len(self.titles))
-            self.titles.append((words, state == 1))
-        return state
-
-    def _by_title(self, words):
-        overlap = {}
-        for word in words:
-            for at in self.holders.get(word, ()):
-                overlap[at] = overlap.get(at, 0) + 1
-        state = 1
-        for at, common in overlap.items():
-            other, kept = self.titles[at]
-            if self._match(len(words), len(other), common):
-                if kept:
-                    return 0
-                state = None
-        return state
-
-    def _match(self, a, b, common):
-        smaller, jaccard = min(a, b), common / (a + b - common)
-        return jaccard == 1.0 or (
-            smaller >= TITLE_MIN_TOKENS
-            and (
-                jaccard >= self.threshold
-                or (common / smaller >= self.threshold and jaccard >= TITLE_MIN_JACCARD)
-            )
-        )
-
-
-def _settle(threshold: float):
-    """Decide sorted rows as they stream by; memory holds one day's block at a time."""
-
-    def run(batches):
-        import pandas as pd
-
-        current, day = None, None
-        for pdf in batches:
-            decided = []
-            for ticker, date, node, url, words, url_waits in zip(
-                pdf["ticker"], pdf["day"], pdf["node"], pdf["url"], pdf["words"], pdf["url_waits"]
-            ):
-                if (ticker, date) != current:
-                    current, day = (ticker, date), _Day(threshold)
-                state = day.decide(url, frozenset(words), url_waits)
-                if state is not None:
-                    decided.append((ticker, node, url, state))
-            yield pd.DataFrame(decided, columns=["ticker", "node", "url", "state"]).astype(
-                {"node": "int64", "state": "int32"}
-            )
+def similar_titles(left: DataFrame, right: DataFrame | None = None, threshold: float = TITLE_SIMILARITY) -> DataFrame:
+    """(ticker, a, b): classes of `left` and `right` (ticker, day, cls, words) with matching titles.
 
-    return run
-
-
-def _prefix(words: Column, floor: float) -> Column:
-    """Words of a title that any match must share at least one of.
-
-    Titles that match have a Jaccard similarity of at least `floor`, so of n words at most
-    n - ceil(floor * n) can be missing; long words first keeps the usual small words out.
+    Without `right` the classes of `left` among themselves, a before b. Titles that match without
+    being equal have at least TITLE_MIN_TOKENS words and a Jaccard similarity of at least
+    `floor`: of the words in one fixed order, each has a common one among its first
+    n - ceil(floor * n) + 1. The order is by the classes of the day that hold a word. Only ids
+    and places meet; the words come back by id for the exact test.
     """
-    size = F.size(words)
-    ranked = F.array_sort(
-        words,
-        lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x))
-        .when(x < y, -1).when(x > y, 1).otherwise(0),
-    )
-    keep = size - F.ceil(size * F.lit(floor) - F.lit(1e-9)).cast("int") + 1
-    return F.slice(ranked, F.lit(1), F.greatest(keep, F.lit(1)))
-
-
-def _title_strikes(open_rows: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
-    """Undecided articles whose title matches a kept one of the same day."""
     floor = min(threshold, TITLE_MIN_JACCARD)
 
-    def words_of(rows, node):
-        return rows.where(F.size("words") > 0).select(
-            "ticker", "day", F.col("node").alias(node),
-            F.explode(_prefix(F.col("words"), floor)).alias("word"),
+    def words_of(rows):
+        return rows.where(F.size("words") >= TITLE_MIN_TOKENS).select(
+            "ticker", "day", "cls", F.size("words").alias("n"), F.explode("words").alias("word")
         )
 
-    # only ids travel through the word join; the word sets come back by id afterwards
-    candidates = (
-        words_of(open_rows, "node")
-        .join(words_of(kept, "kept_node"), ["ticker", "day", "word"])
-        .select("ticker", "node", "kept_node").distinct()
+    posted = words_of(left).withColumn("side", F.lit(1))
+    if right is not None:
+        posted = posted.unionByName(words_of(right).withColumn("side", F.lit(2)))
+    day_word = ["ticker", "day", "word"]
+    shared = posted.groupBy(*day_word).agg(F.count("*").alias("held")).where("held > 1")
+    ranked = (
+        posted.join(shared, day_word, "left").groupBy("side", "ticker", "day", "cls", "n")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "word"))).alias("ranked"))
     )
-    kept_words = kept.select(
-        "ticker", F.col("node").alias("kept_node"), F.col("words").alias("kept_words")
+    first = (F.col("n") - F.ceil(F.col("n") * F.lit(floor) - F.lit(1e-9)) + 1).cast("int")
+    prefixes = ranked.select(
+        "side", "ticker", "day", "cls", "n", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(first, F.lit(1)))).alias("place", "at")
+    ).where("at.held > 1").withColumn("word", F.col("at.word")).drop("at")
+
+    def side(k, name):
+        return prefixes.where(F.col("side") == (1 if right is None else k)).select(
+            *day_word, F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("place").alias(f"place_{name}")
+        )
+
+    both = F.col("n_a") + F.col("n_b")
+    room = 1 + F.least(F.expr("n_a - 1 - place_a"), F.expr("n_b - 1 - place_b"))
+    candidates = (
+        side(1, "a").join(side(2, "b"), day_word)
+        .where(F.col("a") < F.col("b") if right is None else F.col("a") != F.col("b"))
+        .where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(floor) - F.lit(1e-9)))
+        .where(room >= both * F.lit(floor / (1 + floor)) - F.lit(1e-9))
+        .select("ticker", "a", "b").distinct()
     )
+    of_a = left.select("ticker", F.col("cls").alias("a"), F.col("words").alias("words_a"))
+    of_b = (left if right is None else right).select("ticker", F.col("cls").alias("b"), F.col("words").alias("words_b"))
     return (
-        candidates.join(open_rows.select("ticker", "node", "words"), ["ticker", "node"])
-        .join(kept_words, ["ticker", "kept_node"])
-        .where(titles_match(F.col("words"), F.col("kept_words"), threshold))
-        .select("ticker", "node").distinct()
+        candidates.join(of_a, ["ticker", "a"]).join(of_b, ["ticker", "b"])
+        .where(titles_match(F.col("words_a"), F.col("words_b"), threshold)).select("ticker", "a", "b")
     )
 
 
-def _crowded(open_rows: DataFrame, block: int) -> DataFrame:
-    """Days that hold more undecided articles than one block."""
-    counts = open_rows.groupBy("ticker", "day").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") > block).select("ticker", "day")
-
+def _with_classes(folded: DataFrame, prefix: int) -> DataFrame:
+    """Articles with their title class and the phase in which they enter.
 
-def _front(open_rows: DataFrame, block: int, crowds: bool) -> DataFrame:
-    """The first `block` undecided articles of each day, each knowing whether its URL waits."""
-    first_holder = (
-        open_rows.where("url <> ''").groupBy("ticker", "url").agg(F.min("node").alias("holder"))
+    Days of up to `prefix` articles enter at once; of others, the prefix that ends at the first
+    cut with that many, and so on by growing cuts.
+    """
+    words = folded.where(F.size("words") > 0)
+    classes = words.groupBy("ticker", "day", "words").agg(F.min("node").alias("cls"))
+    named = words.join(classes, ["ticker", "day", "words"]).unionByName(
+        folded.where(F.size("words") == 0).withColumn("cls", F.lit(None).cast("bigint"))
     )
-    front = open_rows
-    if crowds:
-        # the rank limit is applied before the shuffle too, so a hot day sends one block per task
-        rank = F.row_number().over(W.partitionBy("ticker", "day").orderBy("node"))
-        front = open_rows.withColumn("rank", rank).where(F.col("rank") <= block).drop("rank")
-    # articles without URL wait for none, and all those of a ticker would meet in one partition
-    named = front.where("url <> ''").join(first_holder, ["ticker", "url"], "left")
-    bare = front.where("url = ''").withColumn("holder", F.lit(None).cast("bigint"))
-    return named.unionByName(bare).withColumn(
-        "url_waits", F.coalesce(F.col("holder") < F.col("node"), F.lit(False))
+    crowded = (
+        folded.groupBy("ticker", "day").agg(F.count("*").alias("n"), F.percentile_approx("node", CUTS, 100_000).alias("cuts"))
+        .where(F.col("n") > prefix)
     )
+    used = F.filter("cuts", lambda c, i: F.col("n") * F.element_at(F.array(*map(F.lit, CUTS)), i + 1) >= F.lit(prefix))
+    placed = named.join(crowded.select("ticker", "day", used.alias("cuts")), ["ticker", "day"], "left")
+    behind = F.size(F.filter("cuts", lambda c: c < F.col("node")))
+    crowd = F.col("cuts").isNotNull()
+    return placed.withColumn("crowd", crowd).withColumn("phase", F.when(crowd, behind).otherwise(0)).drop("cuts")
 
 
-def kept_nodes(
-    keys: DataFrame, threshold: float = TITLE_SIMILARITY, block: int = BLOCK
-) -> DataFrame:
-    """Surviving (ticker, node) pairs; a node may appear under several tickers."""
-    # without URL and title words nothing can match, so every such article stays
-    blank = (F.col("url") == "") & (F.size("words") == 0)
-    open_rows = cut_lineage(
-        keys.where(~blank).groupBy("ticker", "day", "url", "words").agg(F.min("node").alias("node"))
+def _unstruck(rows: DataFrame, hubs: DataFrame, key: str) -> DataFrame:
+    """Rows that don't have one of the struck (ticker, `key`); rows without such a key don't travel."""
+    has = F.col(key) != "" if key == "url" else F.col(key).isNotNull()
+    return rows.where(has).join(hubs, ["ticker", key], "left_anti").unionByName(rows.where(~has))
+
+
+def _round(open_rows: DataFrame, edges: DataFrame, phase: int) -> DataFrame:
+    """(ticker, node, url, cls) of the open articles that come before all they conflict with."""
+    active = open_rows.where(F.col("phase") <= phase)
+    first = active.where("cls IS NOT NULL").groupBy("ticker", "cls").agg(F.min("node").alias("first"))
+    beside = (
+        edges.join(first, ["ticker", "cls"]).groupBy("ticker", F.col("near").alias("cls")).agg(F.min("first").alias("beside"))
     )
-    kept_parts = [keys.where(blank).select("ticker", "node")]
-    # days only shrink, so without a crowd at the start there is none later
-    crowds = not _crowded(open_rows, block).isEmpty()
-    while not open_rows.isEmpty():
-        decided = cut_lineage(
-            _front(open_rows, block, crowds).repartition("ticker", "day")
-            .sortWithinPartitions("ticker", "day", "node")
-            .mapInPandas(_settle(threshold), DECISION)
-        )
-        kept = decided.where("state = 1")
-        kept_parts.append(kept.select("ticker", "node"))
-        kept_urls = kept.where("url <> ''").select("ticker", "url").distinct()
-        undecided = open_rows.join(decided.select("ticker", "node"), ["ticker", "node"], "left_anti")
-        rest = undecided.where("url <> ''").join(kept_urls, ["ticker", "url"], "left_anti").unionByName(
-            undecided.where("url = ''"), allowMissingColumns=False
-        )
-        if crowds:
-            rest = cut_lineage(rest)
-            days = _crowded(open_rows, block)
-            kept_rows = open_rows.join(kept.select("ticker", "node"), ["ticker", "node"], "left_semi")
-            on_crowded = rest.join(days, ["ticker", "day"], "left_semi")
-            struck = _title_strikes(on_crowded, kept_rows, threshold)
-            rest = rest.join(struck, ["ticker", "node"], "left_anti")
-        open_rows = cut_lineage(rest)
-    out = kept_parts[0]
-    for part in kept_parts[1:]:
-        out = out.unionByName(part)
-    return out
+    leaders = (
+        first.join(beside, ["ticker", "cls"], "left").where("beside IS NULL OR first < beside")
+        .select("ticker", F.col("first").alias("node"))
+    )
+    # an article that waits for its class waits whether or not it leads its URL, and the reverse
+    holders = open_rows.where("url <> ''").groupBy("ticker", "url").agg(F.min("node").alias("holder"))
+    ready = active.where("cls IS NULL").unionByName(active.where("cls IS NOT NULL").join(leaders, ["ticker", "node"], "left_semi"))
+    named = ready.where("url <> ''").join(holders, ["ticker", "url"]).where("holder = node").drop("holder")
+    return named.unionByName(ready.where("url = ''")).select("ticker", "node", "url", "cls", "day", "words", "crowd")
+
+
+def kept_nodes(keys: DataFrame, threshold: float = TITLE_SIMILARITY, prefix: int = PREFIX) -> DataFrame:
+    """Surviving (ticker, node) pairs, stored; a node may appear under several tickers."""
+    spark = keys.sparkSession
+    folder, parts = run_folder(spark), 0
+
+    def keep(rows):
+        nonlocal parts
+        parts += 1
+        return written(rows, f"{folder}/part={parts}")
+
+    # without URL and title words nothing can match, so such articles don't fold
+    alone = F.when((F.col("url") == "") & (F.size("words") == 0), F.col("node")).alias("alone")
+    folded = written(keys.groupBy("ticker", "day", "url", "words", alone).agg(F.min("node").alias("node")).drop("alone"))
+    open_rows = written(_with_classes(folded, prefix))
+    last = open_rows.agg(F.max("phase")).first()[0]
+    kept = None  # of crowded days, for what enters later
+    for phase in range(0 if last is None else last + 1):
+        classes = open_rows.where(f"cls IS NOT NULL AND phase <= {phase}").groupBy("ticker", "day", "cls").agg(F.first("words").alias("words"))
+        if phase and kept is not None:
+            struck = written(similar_titles(kept, classes, threshold).select("ticker", F.col("b").alias("cls")).distinct())
+            open_rows = written(_unstruck(open_rows, struck, "cls"))
+            classes = classes.join(struck, ["ticker", "cls"], "left_anti")
+        pairs = written(similar_titles(classes, threshold=threshold))
+        edges = pairs.toDF("ticker", "cls", "near").unionByName(pairs.toDF("ticker", "near", "cls"))
+        while not open_rows.where(F.col("phase") <= phase).isEmpty():
+            chosen = keep(_round(open_rows, edges, phase))
+            if chosen.isEmpty():  # all wait for URL holders that enter later
+                break
+            leading = chosen.where("cls IS NOT NULL").select("ticker", "cls")
+            beside = edges.join(leading, ["ticker", "cls"], "left_semi").select("ticker", F.col("near").alias("cls"))
+            urls = chosen.where("url <> ''").select("ticker", "url")
+            rest = _unstruck(open_rows, leading.unionByName(beside), "cls")
+            rest = _unstruck(rest, urls, "url").join(chosen.select("ticker", "node"), ["ticker", "node"], "left_anti")
+            open_rows = written(rest)
+            if phase < last:
+                led = chosen.where("crowd AND cls IS NOT NULL").select("ticker", "day", "cls", "words")
+                kept = led if kept is None else kept.unionByName(led)
+    if not parts:
+        return spark.createDataFrame([], KEPT)
+    return spark.read.schema(KEPT).parquet(*[f"{folder}/part={k + 1}" for k in range(parts)])
 
 
 def deduplicate_news(
     news: DataFrame,
     order: str = "ingest_order",
     threshold: float = TITLE_SIMILARITY,
-    block: int = BLOCK,
+    prefix: int = PREFIX,
 ) -> DataFrame:
     """Articles that survive the greedy rule; `order` must be unique within a ticker."""
-    kept = kept_nodes(dedup_keys(news, order), threshold, block)
+    kept = kept_nodes(dedup_keys(news, order), threshold, prefix)
     kept = kept.select(F.col("ticker").alias("_ticker"), F.col("node").alias(order))
     keyed = news.withColumn("_ticker", normalize_ticker(text_or_empty(F.col("ticker"))))
     return keyed.join(kept, ["_ticker", order], "left_semi").drop("_ticker")

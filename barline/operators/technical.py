@@ -5,17 +5,23 @@ bar table holds one row per ticker and date, so a window partition is bounded by
 (about 260 rows a year), however many trades were folded into the bars before.
 
 Exponential averages run as window sums too: inside blocks of `BLOCK` rows the recursion is a
-weighted prefix sum, and the end values of the three preceding blocks carry the tail. The
-weight left out is below 1e-49 of the signal for the slowest average used here.
+weighted prefix sum. What earlier blocks leave is an affine carry, their end values times powers
+of what a whole block keeps; after a few blocks (six for the slowest average used here) that
+power is below the smallest double, so a few look-backs at each block's first row give the whole
+carry. No row holds a list, and nothing is joined.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import PRICE_FEATURES
 from ..functions.numeric import change, finite, rolling, rolling_dense, safe_div
 from ..schema import require_columns
 
-BLOCK = 512
+BLOCK = 2048
+#: Decimal exponent below which there is no double.
+LEAST_EXPONENT = 324
 
 
 def clean_bars(bars: DataFrame) -> DataFrame:
@@ -55,33 +61,36 @@ def ema_prefix(x: Column, alpha: float, seed_pos: int) -> Column:
     return F.sum(term).over(frame) * F.pow(F.lit(keep), F.col("_k"))
 
 
-def block_ends(prefix: Column) -> Column:
-    """The prefix values at the ends of all earlier blocks, oldest first: one for every 512 rows."""
-    at_end = F.when(F.col("_k") == BLOCK - 1, prefix)
-    return F.collect_list(at_end).over(_block_series().rowsBetween(W.unboundedPreceding, -1))
+def _look_backs(alpha: float) -> int:
+    """Blocks until what is left of one, times 1e16, is below the smallest double."""
+    kept = BLOCK * math.log10(1.0 - alpha)
+    if kept < -250:
+        raise ValueError(f"an average with weight {alpha} needs shorter blocks than {BLOCK} rows")
+    return math.ceil(-(LEAST_EXPONENT + 16) / kept) + 1
 
 
-def ema_total(prefix: Column, ends: Column, alpha: float) -> Column:
-    """The block's own average and what is left of every earlier block."""
-    keep = 1.0 - alpha
-    tail = F.aggregate(ends, F.lit(0.0), lambda total, end: total * F.lit(keep**BLOCK) + end)
-    return prefix + tail * F.pow(F.lit(keep), F.col("_k") + 1)
+def block_carry(prefix: Column, alpha: float) -> Column:
+    """At a block's first row: what all earlier blocks leave of the average, at the last one's end."""
+    w, keep = _block_series(), (1.0 - alpha) ** BLOCK
+    ends = [F.coalesce(F.lag(prefix, 1 + BLOCK * back).over(w), F.lit(0.0)) for back in range(_look_backs(alpha))]
+    total = ends[-1]
+    for end in reversed(ends[:-1]):
+        total = end + total * F.lit(keep)
+    return F.when(F.col("_k") == 0, total)
+
+
+def ema_total(prefix: Column, carry: Column, alpha: float) -> Column:
+    """The block's own average and what is left of the carry at its first row."""
+    in_block = W.partitionBy("ticker", "_block").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    return prefix + F.first(carry).over(in_block) * F.pow(F.lit(1.0 - alpha), F.col("_k") + 1)
 
 
 def with_emas(df: DataFrame, specs) -> DataFrame:
     """Add exponential averages; `specs` holds (output, input column, alpha, seed position)."""
-    first = df.select(
-        "*", *[ema_prefix(F.col(x), a, s).alias(f"_p_{out}") for out, x, a, s in specs]
-    )
-    second = first.select(
-        "*", *[block_ends(F.col(f"_p_{out}")).alias(f"_c_{out}") for out, *_ in specs]
-    )
+    first = df.select("*", *[ema_prefix(F.col(x), a, s).alias(f"_p_{out}") for out, x, a, s in specs])
+    second = first.select("*", *[block_carry(F.col(f"_p_{out}"), a).alias(f"_c_{out}") for out, _, a, _ in specs])
     third = second.select(
-        "*",
-        *[
-            ema_total(F.col(f"_p_{out}"), F.col(f"_c_{out}"), a).alias(out)
-            for out, _, a, _ in specs
-        ],
+        "*", *[ema_total(F.col(f"_p_{out}"), F.col(f"_c_{out}"), a).alias(out) for out, _, a, _ in specs]
     )
     return third.drop(*[f"_{tag}_{out}" for out, *_ in specs for tag in "pc"])
 

@@ -489,8 +489,7 @@ def listing_pages(spark, sf):
 @query("html_listing_extract", """SELECT s_suppkey AS page_id, CAST(s_suppkey AS INTEGER) AS universe_rank, 'N' || s_nationkey AS ticker, 'PT ' || s_name || ' & Co' AS name,
     'https://list.example/stocks?page=' || (s_suppkey + 1) AS next_url FROM supplier""")
 def html_listing_extract(spark, sf):
-    pages = listing_pages(spark, sf)
-    return P.listing_rows(pages).join(P.next_links(pages), "page_id").select("page_id", "universe_rank", "ticker", "name", "next_url")
+    return P.listing(listing_pages(spark, sf)).select("page_id", "universe_rank", "ticker", "name", "next_url")
 
 
 @query("first_by_key", """SELECT 'N' || s_nationkey AS ticker, min_by('PT ' || s_name || ' & Co', s_suppkey) AS name, 'UNKNOWN' AS sector, 'IDX' AS exchange,

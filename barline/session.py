@@ -47,3 +47,10 @@ def run_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder, for tables a job writes and reads back."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/run-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows as Parquet in the shared folder, read back: lineage is cut and sizes are known."""
+    folder = folder or run_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

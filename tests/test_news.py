@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.functions import text as T, urls as U
+from barline.functions import markup as MK
 from barline.operators import fusion as FU, news_dedup as D, news_features as N
 from barline.schema import FEED_ENTRY, GDELT_PAYLOAD, NEWSAPI_PAYLOAD
 from barline.sources import pages as P, payloads as PL
@@ -79,8 +80,8 @@ def greedy(items, threshold=0.9):
     return kept
 
 
-@pytest.mark.parametrize("seed,block", [(1, 7), (2, 25), (3, 512)])
-def test_dedup_is_the_greedy_rule(spark, seed, block):
+@pytest.mark.parametrize("seed,prefix", [(1, 7), (2, 25), (3, 512)])
+def test_dedup_is_the_greedy_rule(spark, seed, prefix):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(30)]
     items = []
@@ -94,7 +95,7 @@ def test_dedup_is_the_greedy_rule(spark, seed, block):
         # one ticker and day hold most rows
         items.append((i, rng.choice("TTTTAB"), rng.choice(["d1"] * 5 + ["d2"]), rng.choice(["", "", f"u{rng.randrange(120)}"]), sorted(set(words))))
     keys = spark.createDataFrame(items, "node bigint, ticker string, day string, url string, words array<string>")
-    got = {(r.ticker, r.node) for r in D.kept_nodes(keys, block=block).collect()}
+    got = {(r.ticker, r.node) for r in D.kept_nodes(keys, prefix=prefix).collect()}
     assert got == greedy(items)
 
 
@@ -268,6 +269,49 @@ def test_listing(rows):
     assert P.next_links(frame).first().next_url == "https://s.com/list?p=2"
 
 
+def test_listing_of_untidy_tables(rows):
+    html = ("<!-- <table id='main-table'><tr><td>9</td><td>HID</td><td>hidden</td></tr></table> --><link rel='prev NEXT' href=list?p=2#x>"
+            "<TABLE class=a id='main-table'><tr><th>h</th></tr><tr data-x='</tr>'><td title='a>b'>1</td><td>aaa</td><td>A &amp; B &#233; <script>if (a<b) x</script>Tbk</td></tr>"
+            "<tr><td>2</td><td>BBB</td><td>inner <table><tr><td>3</td><td>CCC</td><td>Nested</td></tr></table></td></tr>"
+            "<tr><td>4</td><td>DDD</td><td>never ended<tr><td>5</td><td>EEE</td><td>1 < 2</td><td>more</td></tr><tr><td>x</td><td>FFF</td><td>no rank</td></tr></table>"
+            "<table><tr><td>7</td><td>GGG</td><td>outside</td></tr></table>")
+    frame = rows([(1, "https://s.com/a/b?q=1", html), (1, "https://t.com/", html.replace("aaa", "zzz")), (2, None, None)], "page_id bigint, url string, html string")
+    got = {(r.universe_rank, r.ticker, r.name, r.next_url) for r in P.listing(frame).collect()}
+    assert got == {(k, t, n, f"{base}list?p=2#x") for base, first in (("https://s.com/a/", "AAA"), ("https://t.com/", "ZZZ")) for k, t, n in [
+        (1, first, "A & B é Tbk"), (3, "CCC", "Nested"), (5, "EEE", "1 < 2"), (None, "FFF", "no rank")]}
+
+
+def test_page_media_of_untidy_tags(rows):
+    html = ("<!--<meta property=og:image content=/no.png>--><div title='<meta property=og:image content=/no2.png>'></div><script>'<meta property=og:image content=/no3.png>'</script>"
+            "<meta property='og:image' content='data:x'><META name=twitter:image content= /a.png?x=1&amp;y=2 ><meta content=/later.png property=og:image>"
+            "<link href='i&#46;png' REL=\"Shortcut ICON\">")
+    out = P.page_media(rows([(1, "https://e.com/x/y", html), (2, None, html), (3, "nonsense", "icon")], "page_id bigint, url string, html string")).orderBy("page_id").collect()
+    assert (out[0].image_url, out[0].icon_url) == ("https://e.com/a.png?x=1&y=2", "https://e.com/x/i.png")
+    assert [(r.image_url, r.icon_url) for r in out[1:]] == [(None, None)] * 2
+
+
+def test_joined_urls_are_those_of_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://e.com/x/y?q=1#f", "http://e.com", "https://e.com/", "HTTPS://e.com/a/b/", "http://u@h:8/a/b/c"]
+    links = ["", "z", "/z", "//c.d/i.png", "?n=2", "#top", "../up", "../../../far", "./here", "a/../b/./c", "..", ".", "http://o.org/../x", "data:x", "z/?a=/../b", "mailto:a@b"]
+    frame = spark.createDataFrame([(b, x) for b in bases for x in links], "b string, x string")
+    for r in frame.select("b", "x", U.joined_url(F.col("b"), F.col("x")).alias("u")).collect():
+        assert r.u.lower() == urljoin(r.b, r.x).lower(), (r.b, r.x)
+
+
+def test_references_and_attributes(spark):
+    import html
+
+    texts = ["a &amp; b", "&lt;&gt;&quot;&apos;&nbsp;x", "&#233;&#xe9;&#XE9 &eacute; &copy", "AT&T &unknown; &", "&#128; &#0; &#55296; &#x110000; &#x1F600;", "&amp;lt;", ""]
+    for t in texts:
+        assert one(spark, MK.unescaped(F.col("t")), t=t) == html.unescape(t)
+    tag = "<p Class = 'a \"b\"' id=x\tdata-y checked class=\"last &lt; one\">text"
+    assert [one(spark, MK.attribute(F.col("t"), n), t=tag) for n in ("class", "id", "data-y", "none")] == ["last < one", "x", "", ""]
+    long = one(spark, F.size(MK.tokens(F.col("t"))), t="<p " + "a='b' " * 20000 + ">" + "<i>x" * 20000 + "<!--" + "-" * 50000)
+    assert long == 20002
+
+
 def test_logo_candidates(spark):
     got = one(spark, U.logo_candidates(F.col("logo"), F.col("d"), F.col("w")), logo="", d="", w="https://www.bca.co.id/id")
     assert got == [

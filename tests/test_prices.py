@@ -53,6 +53,32 @@ def test_long_series_match_pandas(rows):
         pd.testing.assert_series_equal(got[name], series, check_names=False, rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("block", [256, 2048])
+def test_carry_over_many_blocks_and_a_long_standstill(rows, monkeypatch, block):
+    monkeypatch.setattr(T, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    moves = rng.normal(0, 0.02, 5200)
+    moves[900:4300] = 0  # both averages fade for 3400 rows; their ratio stays
+    closes = np.round(np.exp(np.cumsum(moves)) * 100, 6)
+    c = pd.Series(closes)
+    delta = c.diff()
+    gain = delta.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean()
+    loss = (-delta.clip(upper=0)).ewm(alpha=1 / 14, adjust=False).mean()
+    bars = bars_of(rows, closes, start=D(2001, 1, 1))
+    got = T.rsi(bars).toPandas().sort_values("date").RSI.reset_index(drop=True)
+    macd = T.ema_macd(bars).toPandas().sort_values("date").reset_index(drop=True)
+    pd.testing.assert_series_equal(got[14:], (100 - 100 / (1 + gain / loss))[14:], check_names=False, rtol=1e-9)
+    ema = {n: c.ewm(span=n, adjust=False).mean() for n in (12, 26)}
+    pd.testing.assert_series_equal(macd.EMA_26, ema[26], check_names=False, rtol=1e-12)
+    signal = (ema[12] - ema[26]).ewm(span=9, adjust=False).mean()
+    pd.testing.assert_series_equal(macd.MACD_signal, signal, check_names=False, rtol=1e-9, atol=1e-12)
+
+
+def test_an_average_too_quick_for_the_block_is_an_error():
+    with pytest.raises(ValueError, match="shorter blocks"):
+        T._look_backs(0.5)
+
+
 def test_rsi_stays_at_hundred_long_after_the_last_loss(rows):
     closes = [100, 99] + [100 + i for i in range(2300)]
     last = T.rsi(bars_of(rows, closes, start=D(2001, 1, 1))).orderBy(F.desc("date")).first()
