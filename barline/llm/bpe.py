@@ -21,13 +21,14 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bound_batches, documents, map_texts
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 #: Words up to so many symbols are merged over a plain list of ranks, longer ones over a heap.
 SHORT = 64
 #: White space as Unicode has it (the regex module's own class also takes U+001C to U+001F).
@@ -69,15 +70,15 @@ class Vocabulary:
         self.strings: list = [None] * size
         for text, k in {**self.ids, **self.special}.items():
             self.strings[k] = text
-        self.reach: dict = {}  # the longest token by its first two symbols
-        for text in self.ids:
-            body = text[: -len(self.suffix)] if self.suffix and text.endswith(self.suffix) else text
-            self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         parts = np.array([(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
         self.ranks = {(a, b): k for k, (a, b, _) in enumerate(parts.tolist())}
         self.merged = parts[:, 2].tolist()
         self._borders(parts, size)
+        self._trie()
+        self._merged = parts[:, 2]
+        self._named = np.array([text is not None for text in self.strings])
+        self._texts = pa.array(self.strings, pa.string())
         self.known = {text: np.array([k], "<u4").tobytes() for text, k in self.special.items()}
         self.library = None
 
@@ -143,19 +144,97 @@ class Vocabulary:
             rows = rows[~met & (more_left | more_right)]
         return good
 
-    def _propose(self, word: str) -> list[int] | None:
-        """Longest match from the left; None where a symbol is unknown."""
-        ids, reach, suffix, at, n, found = self.ids, self.reach, self.suffix, 0, len(word), []
-        while at < n:
-            for end in range(min(n, at + reach.get(word[at : at + 2], 1)), at, -1):
-                token = ids.get(word[at:end] + suffix if end == n else word[at:end])
-                if token is not None:
-                    found.append(token)
-                    at = end
-                    break
-            else:
-                return None
-        return found
+    def _trie(self):
+        """The tokens' strings as one automaton over bytes: sorted (state, byte) keys, and each state's tokens."""
+        back = {c: b for b, c in enumerate(self.symbols)}
+        steps: dict = {}
+        inner, final = [-1], [-1]  # the token that ends at a state, within a word and at its end
+        for text, token in self.ids.items():
+            ends = bool(self.suffix) and text.endswith(self.suffix)
+            body = text[: -len(self.suffix)] if ends else text
+            state = 0
+            if not body or any(c not in back for c in body):
+                continue
+            for c in body:
+                key = state << 8 | back[c]
+                state = steps.setdefault(key, len(inner))
+                if state == len(inner):
+                    inner.append(-1)
+                    final.append(-1)
+            (final if ends or not self.suffix else inner)[state] = token
+            if not self.suffix:
+                inner[state] = token
+        keys = np.fromiter(steps.keys(), np.int64, len(steps))
+        order = np.argsort(keys)
+        self._steps, self._states = keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order]
+        self._inner, self._final = np.array(inner), np.array(final)
+        single = np.full((2, 256), -1)
+        for b, c in enumerate(self.symbols):
+            single[0, b], single[1, b] = self.ids.get(c, -1), self.ids.get(c + self.suffix, -1)
+        self._single = single
+
+    def _propose(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Longest matches from the left, of all words at once: tokens, their words, and which words came through."""
+        at, rows, good, rounds = starts.copy(), np.arange(len(starts)), np.ones(len(starts), bool), []
+        while len(rows):
+            best, length = np.full(len(rows), -1), np.zeros(len(rows), np.int64)
+            live, state, depth = np.arange(len(rows)), np.zeros(len(rows), np.int64), 0
+            while len(live):
+                place = at[rows[live]] + depth
+                keys = state << 8 | data[place]
+                found = np.minimum(np.searchsorted(self._steps, keys), len(self._steps) - 1)
+                went = self._steps[found] == keys
+                live, place, state = live[went], place[went], self._states[found[went]]
+                depth += 1
+                last = place + 1 == ends[rows[live]]
+                token = np.where(last, self._final[state], self._inner[state])
+                hit = token >= 0
+                best[live[hit]], length[live[hit]] = token[hit], depth
+                live, state = live[~last], state[~last]
+            through = best >= 0
+            good[rows[~through]] = False
+            rows, best, length = rows[through], best[through], length[through]
+            rounds.append((rows, best))
+            at[rows] += length
+            rows = rows[at[rows] < ends[rows]]
+        owner = np.concatenate([r for r, _ in rounds]) if rounds else np.zeros(0, np.int64)
+        tokens = np.concatenate([t for _, t in rounds]) if rounds else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        return tokens[order], owner[order], good
+
+    def _merge_rows(self, tokens: np.ndarray) -> np.ndarray:
+        """Exact merging of many words at once: each row's pair of lowest rank, leftmost first, until none is left.
+
+        `tokens` has a word per row, padded with -1 on the right; so has the result.
+        """
+        n, width = tokens.shape
+        ranks = np.full((n, width), _NEVER)
+        pairs = tokens[:, 1:] >= 0
+        ranks[:, :-1][pairs] = self._pair_ranks(tokens[:, :-1][pairs], tokens[:, 1:][pairs])
+        out, rows, places = tokens.copy(), np.arange(n), np.arange(width)
+        while len(rows):
+            k = ranks.argmin(axis=1)
+            rank = ranks[np.arange(len(rows)), k]
+            more = rank < _NEVER
+            out[rows[~more]] = tokens[~more]
+            rows, tokens, ranks, k, rank = rows[more], tokens[more], ranks[more], k[more], rank[more]
+            if not len(rows):
+                break
+            line = np.arange(len(rows))
+            tokens[line, k] = self._merged[rank]
+            # the token behind and the merged pair give way to what follows
+            moved = np.minimum(places + (places > k[:, None]), width - 1)
+            tokens = np.take_along_axis(tokens, moved, axis=1)
+            tokens[:, -1] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(places + (places >= k[:, None]), width - 1), axis=1)
+            ranks[:, -1] = _NEVER
+            new = tokens[line, k]
+            behind = tokens[line, np.minimum(k + 1, width - 1)]
+            has = (k + 1 < width) & (behind >= 0)
+            ranks[line, k] = np.where(has, self._pair_ranks(new, np.maximum(behind, 0)), _NEVER)
+            first = k > 0
+            ranks[line[first], k[first] - 1] = self._pair_ranks(tokens[line[first], k[first] - 1], new[first])
+        return out
 
     def _merge(self, word: str) -> list[int]:
         """Exact merging: always the pair of lowest rank, leftmost first. A heap holds rank and place of each pair."""
@@ -200,20 +279,47 @@ class Vocabulary:
         new = list(words - self.known.keys())
         if not new:
             return
-        symbols = self.symbols
-        mapped = [w if w.isascii() and w.isprintable() else "".join([symbols[b] for b in w.encode("utf-8", "replace")]) for w in new]
-        proposed = [self._propose(w) for w in mapped]
-        sizes = np.array([len(p) if p else 0 for p in proposed])
-        flat = np.fromiter((t for p in proposed if p for t in p), np.int64, sizes.sum())
-        owner = np.repeat(np.arange(len(new)), sizes)
-        good = sizes > 0
-        np.logical_and.at(good, owner, self.sound[flat])
-        inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, np.int64)
-        np.logical_and.at(good, owner[inside], self._compatible(flat[inside], flat[inside + 1]))
+        coded = [w.encode("utf-8", "replace") for w in new]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        data = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        flat, owner, good = self._propose(data, starts, ends)
+        good &= sizes > 0
+        good[owner[~self.sound[flat]]] = False
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        inside = inside[good[owner[inside]]]
+        crossed = ~self._compatible(flat[inside], flat[inside + 1])
+        good[owner[inside[crossed]]] = False
         self.speculated, self.failed = len(new), int((~good).sum())
-        for k, word in enumerate(new):
-            tokens = proposed[k] if good[k] else self._merge(mapped[k])
-            self.known[word] = np.array(tokens, "<u4").tobytes()
+        counts = np.bincount(owner, minlength=len(new))
+        raw, at = flat.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts) * 4]).tolist()
+        known = self.known
+        for k in np.flatnonzero(good).tolist():
+            known[new[k]] = raw[at[k] : at[k + 1]]
+        self._learn_exactly(new, data, starts, sizes, np.flatnonzero(~good))
+
+    def _learn_exactly(self, new, data, starts, sizes, failed) -> None:
+        """Merge the failed words: those of like length together, long ones and odd symbols one by one."""
+        symbols, single = self.symbols, self._single
+        odd = (single < 0).any(axis=0)
+        longest = sizes[failed]
+        for low, high in ((0, 8), (8, 12), (12, 16), (16, 32), (32, SHORT)):
+            mine = failed[(longest > low) & (longest <= high)]
+            if not len(mine):
+                continue
+            places = np.arange(high)
+            held = places < sizes[mine][:, None]
+            letters = data[np.minimum(starts[mine][:, None] + places, len(data) - 1)]
+            tokens = np.where(held, single[(places == sizes[mine][:, None] - 1).astype(np.int64), letters], -1)
+            plain = ~(odd[letters] & held).any(axis=1)
+            merged = self._merge_rows(tokens[plain])
+            for k, line, n in zip(mine[plain].tolist(), merged.astype("<u4"), (merged >= 0).sum(axis=1).tolist()):
+                self.known[new[k]] = line[:n].tobytes()
+        for k in failed.tolist():
+            if new[k] not in self.known:
+                word = "".join([symbols[b] for b in new[k].encode("utf-8", "replace")])
+                self.known[new[k]] = np.array(self._merge(word), "<u4").tobytes()
 
     def _cut(self, text: str) -> list[str]:
         if _RARE.search(text):
@@ -246,9 +352,17 @@ class Vocabulary:
         known = self.known
         return [b"".join([known[w] for w in words]) for words in cut]
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of many id sequences that lie one behind the other, by where each ends; unknown ids have no text."""
+        held = ids < len(self.strings)
+        held[held] = self._named[ids[held]]
+        kept = np.concatenate([[0], np.cumsum(held)])
+        offsets = kept[np.concatenate([[0], ends])].astype(np.int64)
+        parts = self._texts.take(pa.array(ids[held].astype(np.int64)))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), parts), " ").cast(pa.string())
+
     def decode(self, ids: np.ndarray) -> str:
-        strings = self.strings
-        return " ".join([s for k in ids.tolist() if k < len(strings) and (s := strings[k]) is not None])
+        return self.decode_all(np.asarray(ids), np.array([len(ids)]))[0].as_py()
 
 
 @functools.lru_cache(maxsize=2)
@@ -277,10 +391,11 @@ def decode(encoded: DataFrame, keep=("doc_id", "n_tokens", "ids"), path: str | N
     def run(batches):
         known = vocabulary(path)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = [known.decode(np.frombuffer(i.as_buffer(), "<u4")) if i.is_valid else "" for i in ids]
+            held = batch.column(batch.schema.get_field_index("ids")).fill_null(b"")
+            ends = np.cumsum(pc.binary_length(held).to_numpy()) // 4
+            texts = known.decode_all(np.frombuffer(b"".join(held.to_pylist()), "<u4"), ends)
             rows = [batch.column(batch.schema.get_field_index(name)) for name in keep]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(texts, pa.string())], [*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*rows, texts], [*keep, "decoded"])
 
     return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, f"{kept}, decoded string")
 

@@ -17,8 +17,11 @@ draw the same count. Other columns ride along; names starting with `_mix_` are u
 from pyspark.sql import DataFrame, functions as F
 
 from .common import documents
+from .storage import stored
 
 SEED, ALPHA = 17, 0.5
+#: Sources up to which their rates are broadcast; each has some hundred numbers.
+SOURCES = 20_000
 _HEX, _WIDTH = 13, float(2**52)
 
 
@@ -55,7 +58,9 @@ def rates(docs: DataFrame, weights: dict | None = None, target_rows: float | Non
 
 def mix(docs: DataFrame, weights: dict | None = None, target_rows: float | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """Every copy of every document, with its number `_mix_copy` (from 1) and its `_mix_key`, in random order."""
-    table = rates(docs, weights, target_rows, alpha).select(F.col("source").alias("_mix_source"), "_mix_below")
+    table = stored(rates(docs, weights, target_rows, alpha).select(F.col("source").alias("_mix_source"), "_mix_below"))
+    if table.count() <= SOURCES:
+        table = F.broadcast(table)  # so documents of one source never meet in one place
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     drawn = docs.join(table, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_name", name)
     u = _draw(F.concat(F.lit(f"{seed}:"), "_mix_name"))

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-CLASHING = ("n_words", "kept", "id", "hash", "row", "component_id", "_spaced", "score", "copy", "ids")
+CLASHING = ("n_words", "kept", "id", "hash", "row", "component_id", "_spaced", "score", "copy", "ids", "_mix_copies", "_mix_key", "_mix_name", "_mix_rows")
 
 
 def odd_texts():

@@ -64,7 +64,7 @@ def groups(texts):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
     return {k: top(k) for k in sets}
@@ -118,6 +118,17 @@ def test_stages_equal_brute_force(spark):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    rng = np.random.default_rng(3)
+    one, two = (" ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(2))
+    rows = [(1, one, "a", 1), (1, two, "a", 2), (1, one, "b", 3), (2, one, "a", 4), (3, two + " more", "a", 5), (None, one, "a", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _mix_rows int")
+    kept = STAGE["near duplicates"](spark, docs, None).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, one)])
+    mixed = STAGE["mixing"](spark, docs, None)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
+
+
 def test_odd_rows(spark, odd, repeated, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
     docs = spark.read.parquet(f"{repeated}/documents.parquet")
