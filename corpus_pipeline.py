@@ -14,7 +14,7 @@ from barline.llm.storage import stored
 
 
 #: Similarity, in per cent, from which the pipeline takes documents for near copies.
-NEAR_PERCENT = 85
+NEAR_PERCENT = 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -36,11 +36,15 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the document with the smallest id stays, once.
 
-    Rows without doc_id can't be told apart by it; they all stay.
+    Rows that share a doc_id count as repeats only if they share the text too; of repeats that
+    differ in other columns the one of the smallest hash stays, whatever is run again. Rows without
+    doc_id can't be told apart by it; they all stay.
     """
     kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    packed = _packed(docs).withColumn("doc_id", F.col("row.doc_id")).where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    others = [F.col(f"row.`{c}`").cast("string") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map" not in kind]
+    once = packed.groupBy("doc_id", F.xxhash64("text"), F.md5("text")).agg(F.min_by("row", F.xxhash64(*others)).alias("row"))
+    return once.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their sources' target weights, in random order."""
-    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = docs.toDF(*[c if c in ("doc_id", "text", "source") else f"column_{k}" for k, c in enumerate(docs.columns)])
+    return mixing.mix(plain).drop("_mix_copy", "_mix_key").toDF(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
