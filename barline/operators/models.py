@@ -1,11 +1,14 @@
 """Return and direction models on pyspark.ml, and their latest predictions."""
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,13 +16,19 @@ from ..functions.labels import confidence_from_probability, confidence_from_retu
 from .backtest import (
     classifier_fold_mean, classifier_metrics, confusion_metrics, exact_auc, fold_dates, fold_mean, fold_metrics,
 )
+from ..session import run_folder, written
 from .serving import latest_rows
 
+#: How deep a forest's trees may grow, and the memory of a pass over nodes and their statistics.
+GROWTH = {"maxDepth": 6, "maxMemoryInMB": 1024}
+#: Fits that run at the same time.
+FITS_AT_ONCE = 4
 # fixed values: model sizes (rounds, leaves as depth, rate; trees, leaf size)
 RETURN_BOOST = {"maxIter": 400, "maxDepth": 5, "stepSize": 0.03}
-RETURN_FOREST = {"numTrees": 250, "minInstancesPerNode": 5}
+RETURN_FOREST = {"numTrees": 250, "minInstancesPerNode": 5, **GROWTH}
 DIRECTION_BOOST = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.03}
-DIRECTION_FOREST = {"numTrees": 200, "minInstancesPerNode": 5}
+DIRECTION_FOREST = {"numTrees": 250, "minInstancesPerNode": 5, **GROWTH}
+BASELINE_FOREST = {"numTrees": 200, "minInstancesPerNode": 5, **GROWTH}
 
 
 def usable_features(df: DataFrame, features: list[str]) -> list[str]:
@@ -98,7 +107,7 @@ def direction_baseline(categorical: list[str], numeric: list[str], label="target
     stages.append(VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep"))
     common = dict(labelCol=label, featuresCol="features", seed=seed, predictionCol="predicted_direction",
                   probabilityCol="_p", rawPredictionCol="_raw")
-    sizes = {"boosted": {"maxIter": 250, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.9}}.get(kind, DIRECTION_FOREST)
+    sizes = {"boosted": {"maxIter": 250, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.9}}.get(kind, BASELINE_FOREST)
     learner = GBTClassifier if kind == "boosted" else RandomForestClassifier
     return Pipeline(stages=[*stages, learner(**common, **{**sizes, **size})])
 
@@ -165,52 +174,141 @@ def predict_directions(model: PipelineModel, rows: DataFrame, features: list[str
     )
 
 
-def _folds(df: DataFrame, n_splits: int, gap_dates: int):
-    """Date lists per fold; bounded by the calendar times the number of folds."""
-    dates = fold_dates(df, n_splits, gap_dates)
-    for row in dates.select("fold").distinct().orderBy("fold").collect():
-        mine = dates.where(F.col("fold") == row.fold)
+def training_table(
+    df: DataFrame, features: list[str], n_splits: int = 5, gap_dates: int = 1, label: str = "direction", target: str = "target_return"
+) -> DataFrame:
+    """Rows of every fold and role with their imputed feature vector, written once for all fits.
+
+    Fold 0 has all rows as training rows. Values are imputed with the means of the fold's own
+    training rows (0 where there are none), and `class_weight` balances the label's classes there;
+    both come from one aggregate over the folds. Written by fold and role, so a fit reads its own rows.
+    """
+    everything = df.select("date").distinct().select(F.lit(0).alias("fold"), F.lit("train").alias("role"), "date")
+    placed = df.join(fold_dates(df, n_splits, gap_dates).unionByName(everything), "date")
+    single = [F.col(c).cast("float").cast("double") for c in features]
+    ones, known = F.sum(F.col(label).cast("bigint")), F.count(label)
+    stats = placed.where("role = 'train'").groupBy("fold").agg(
+        F.array(*[F.coalesce(F.avg(v), F.lit(0.0)) for v in single]).alias("means"), known.alias("known"), ones.alias("ones"),
+    )
+    filled = F.array(*[F.coalesce(v, F.col("means")[k]) for k, v in enumerate(single)])
+    of_class = F.when(F.col(label).cast("bigint") == 1, F.col("ones")).otherwise(F.col("known") - F.col("ones"))
+    kept = dict.fromkeys(["ticker", "date", "close", "next_day_price", "target_return", target])
+    table = placed.join(stats, "fold").select(
+        "fold", "role", *kept, F.col(label).cast("double").alias(label), array_to_vector(filled).alias("features"),
+        F.when(F.col(label).isNotNull(), F.col("known") / (2.0 * of_class)).alias("class_weight"),
+        (F.least("ones", F.col("known") - F.col("ones")) > 0).alias("two_classes"),
+    )
+    folder = run_folder(df.sparkSession)
+    table.write.partitionBy("fold", "role").parquet(folder)
+    return df.sparkSession.read.schema(table.schema).parquet(folder)
 
-        def part(role):
-            return df.join(mine.where(F.col("role") == role).select("date"), "date", "left_semi")
 
-        yield row.fold, part("train"), part("test")
+def fit_at_once(spark, fits: dict, threads: int = FITS_AT_ONCE) -> dict:
+    """Results of named fits (functions without arguments) from a bounded pool of driver threads.
 
+    Each fit is a job group of its own and asks for a scheduler pool of its own, so that with fair
+    scheduling none waits for another's whole job; the rows stay on the executors.
+    """
+    context = spark.sparkContext
 
-def cross_validate_returns(df: DataFrame, features: list[str], n_splits=5, gap_dates=1, top_n=10, kind="boosted", target="target_return", **size) -> DataFrame:
-    """One row of mean metrics over purged folds; folds train one after another."""
+    def run(name):
+        context.setJobGroup(f"fit {name}", f"model fit {name}")
+        context.setLocalProperty("spark.scheduler.pool", f"fit {name}")
+        return fits[name]()
+
+    with ThreadPool(max(1, min(threads, len(fits)))) as pool:
+        return dict(zip(fits, pool.map(inheritable_thread_target(spark)(run), list(fits), chunksize=1)))
+
+
+def _learner(fold_rows: DataFrame, kind: str, boosted, forest, sizes: tuple[dict, dict], size: dict, **common):
+    learner, chosen = (boosted, sizes[0]) if kind == "boosted" else (forest, sizes[1])
+    return learner(featuresCol="features", seed=42, **common, **{**chosen, **size}).fit(fold_rows)
+
+
+def return_fits(table: DataFrame, folds: list[int], kind: str = "boosted", target: str = "target_return", **size) -> dict:
+    """A return model to fit per fold, by ("return", fold)."""
+
+    def fit(fold):
+        rows = table.where((F.col("fold") == fold) & (F.col("role") == "train")).select(target, "features")
+        return _learner(rows, kind, GBTRegressor, RandomForestRegressor, (RETURN_BOOST, RETURN_FOREST), size,
+                        labelCol=target, predictionCol="predicted_return")
+
+    return {("return", fold): (lambda fold=fold: fit(fold)) for fold in folds}
+
+
+def direction_fits(table: DataFrame, folds: list[int], kind: str = "boosted", label: str = "direction", **size) -> dict:
+    """A class-weighted direction model to fit per fold, by ("direction", fold)."""
+
+    def fit(fold):
+        rows = table.where((F.col("fold") == fold) & (F.col("role") == "train")).where(F.col(label).isNotNull())
+        return _learner(rows.select(label, "class_weight", "features"), kind, GBTClassifier, RandomForestClassifier,
+                        (DIRECTION_BOOST, DIRECTION_FOREST), size, labelCol=label, weightCol="class_weight",
+                        predictionCol="predicted_direction", probabilityCol="_p", rawPredictionCol="_raw")
+
+    return {("direction", fold): (lambda fold=fold: fit(fold)) for fold in folds}
+
+
+def fold_numbers(table: DataFrame, two_classes: bool = False) -> list[int]:
+    """Folds to evaluate; with `two_classes` those whose training rows have both."""
+    rows = table.where("fold > 0 AND role = 'train'" + (" AND two_classes" if two_classes else ""))
+    return sorted(r.fold for r in rows.select("fold").distinct().collect())
+
+
+def score_folds(table: DataFrame, models: dict, kind: str) -> DataFrame:
+    """The test rows of all folds, each scored by its fold's model of `kind`, in one pass."""
     scored = None
-    for fold, train, test in _folds(df, n_splits, gap_dates):
-        used = usable_features(train, features)
-        model = fit_return_model(train, used, kind=kind, target=target, **size)
-        out = model.transform(_as_double(test, used)).select(
-            F.lit(fold).alias("fold"), "ticker", "date", "close", "next_day_price", "target_return",
-            *([target] if target != "target_return" else []), "predicted_return",
-        )
-        scored = out if scored is None else scored.unionByName(out)
+    for (of, fold), model in sorted(models.items()):
+        if of == kind and fold > 0:
+            out = model.transform(table.where((F.col("fold") == fold) & (F.col("role") == "test")))
+            if kind == "direction":
+                out = out.withColumn("probability_up", vector_to_array("_p")[1]).withColumn(
+                    "predicted_direction", F.col("predicted_direction").cast("bigint"))
+            out = out.drop("features", "_p", "_raw", "class_weight", "two_classes")
+            scored = out if scored is None else scored.unionByName(out)
     if scored is None:
         raise ValueError("time-series evaluation produced no valid folds")
+    return scored
+
+
+def return_quality(scored: DataFrame, gap_dates: int = 1, top_n: int = 10, target: str = "target_return") -> DataFrame:
+    """One row of mean metrics over the folds of scored test rows."""
     return fold_mean(fold_metrics(scored, top_n, target=target)).withColumns(
         {"gap_dates": F.lit(gap_dates), "selection_top_n": F.lit(top_n)}
     )
 
 
+def direction_quality(scored: DataFrame, label: str = "direction") -> DataFrame:
+    return classifier_fold_mean(classifier_metrics(scored.where(F.col(label).isNotNull()), ("fold",), label))
+
+
+def cross_validated_returns(df: DataFrame, features: list[str], n_splits=5, gap_dates=1, kind="boosted", target="target_return", **size) -> DataFrame:
+    """Test rows of purged folds, scored by models fitted at once."""
+    table = training_table(df, features, n_splits, gap_dates, target=target)
+    models = fit_at_once(df.sparkSession, return_fits(table, fold_numbers(table), kind, target, **size))
+    return score_folds(table, models, "return")
+
+
+def cross_validated_direction(df: DataFrame, features: list[str], n_splits=5, gap_dates=1, kind="boosted", label="direction", **size) -> DataFrame:
+    """Labelled test rows of purged folds, scored; a fold with one training class is skipped."""
+    table = training_table(df.where(F.col(label).isNotNull()), features, n_splits, gap_dates, label)
+    models = fit_at_once(df.sparkSession, direction_fits(table, fold_numbers(table, True), kind, label, **size))
+    return score_folds(table, models, "direction")
+
+
+def cross_validate_returns(df: DataFrame, features: list[str], n_splits=5, gap_dates=1, top_n=10, kind="boosted", target="target_return", **size) -> DataFrame:
+    """One row of mean metrics over purged folds."""
+    return return_quality(written(cross_validated_returns(df, features, n_splits, gap_dates, kind, target, **size)), gap_dates, top_n, target)
+
+
 def cross_validate_direction(df: DataFrame, features: list[str], n_splits=5, gap_dates=1, kind="boosted", label="direction", **size) -> DataFrame:
-    """Mean classifier metrics over purged folds; a fold with one training class is skipped."""
-    rows = df.where(F.col(label).isNotNull())
-    scored = None
-    for fold, train, test in _folds(rows, n_splits, gap_dates):
-        if train.select(label).distinct().count() < 2:
-            continue
-        used = usable_features(train, features)
-        model = fit_direction_classifier(train, used, label, kind=kind, **size)
-        out = score_direction(model, _as_double(test, used)).select(
-            F.lit(fold).alias("fold"), F.col(label), "predicted_direction", "probability_up"
-        )
-        scored = out if scored is None else scored.unionByName(out)
-    if scored is None:
-        raise ValueError("direction evaluation produced no valid folds")
-    return classifier_fold_mean(classifier_metrics(scored, ("fold",), label))
+    """Mean classifier metrics over purged folds."""
+    return direction_quality(written(cross_validated_direction(df, features, n_splits, gap_dates, kind, label, **size)), label)
+
+
+def with_inputs(df: DataFrame, features: list[str], model) -> PipelineModel:
+    """A fitted model behind the mean imputation and assembly of `features`, fitted on `df`."""
+    imputer, assembler = _inputs(features)
+    return PipelineModel([imputer.fit(_as_double(df, features)), assembler, model])
 
 
 def direction_metrics(scored: DataFrame, label="target_next_direction") -> DataFrame:

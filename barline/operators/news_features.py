@@ -16,9 +16,13 @@ from ..functions.text import (
 )
 from ..schema import require_columns
 from ..session import cut_lineage
+from ..session import written
 from .news_dedup import deduplicate_news
 
 
+#: Aliases up to which their first words are held as a set in the plan.
+FEW_ALIASES = 2_000
+
 def with_sentiment(news: DataFrame, positive=None, negative=None) -> DataFrame:
     """Rows without a score get the lexicon score of their cleaned title and summary."""
     score = lexicon_sentiment(article_text(F.col("title"), F.col("summary")), positive, negative)
@@ -214,30 +218,55 @@ def daily_vectors(articles: DataFrame, dimensions: int = EMBEDDING_DIMENSIONS) -
     )
 
 
+def _alias_index(aliases: DataFrame) -> tuple[DataFrame, list[str] | None, int, int]:
+    """Aliases by their first word, those words if they are few, and the most words and leading signs of an alias."""
+    names = aliases.select(normalize_ticker(F.col("ticker")).alias("ticker"), F.upper("alias").alias("_alias"))
+    indexed = written(names.select(
+        "ticker", "_alias", F.regexp_extract("_alias", "[A-Z0-9]+", 0).alias("_head"),
+        F.size(F.regexp_extract_all("_alias", F.lit("[A-Z0-9]+"), F.lit(0))).alias("_words"),
+        F.length(F.regexp_extract("_alias", "^[^A-Z0-9]*", 0)).alias("_front"),
+    ).where("_head <> ''").distinct())
+    most = indexed.agg(F.count("*"), F.max("_words"), F.max("_front")).first()
+    heads = [r._head for r in indexed.select("_head").distinct().collect()] if most[0] <= FEW_ALIASES else None
+    return indexed, heads, most[1] or 1, most[2] or 0
+
+
 def tag_tickers(articles: DataFrame, aliases: DataFrame, text: str = "text", key: str = "ingest_order") -> DataFrame:
     """One row per article and ticker whose alias occurs as a whole word.
 
-    The first letter-digit run of an alias must be a word of the text, so that equi-join finds
-    the candidates; aliases with other characters are then checked as a whole.
+    A text is an array of words, each with the signs in front of it. Words that begin no alias drop
+    out of the array (a set of at most FEW_ALIASES first words; beyond that the join does it); only
+    the others leave it, each with a window of as many words as the longest alias has. An alias
+    that is one plain word is found by that; others are looked for in their window.
     """
-    words = articles.select(
-        key,
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit("([A-Z0-9]+)"), 1))
-        ).alias("_word"),
-    )
-    names = aliases.select(
-        normalize_ticker(F.col("ticker")).alias("ticker"), F.upper("alias").alias("_alias")
-    ).withColumn("_word", F.regexp_extract("_alias", "[A-Z0-9]+", 0)).where("_word <> ''")
-    exact = words.join(names.where("_alias = _word"), "_word").select(key, "ticker")
+    names, heads, longest, front = _alias_index(aliases)
+    plain = longest == 1 and front == 0
+
+    def begins(word):
+        return F.lit(True) if heads is None else word.isin(heads)
+
+    if plain:
+        words = F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit("[A-Z0-9]+"), F.lit(0)))
+        found = articles.select(key, F.explode(F.filter(words, begins)).alias("_head")).withColumn("_window", F.col("_head"))
+    else:
+        pieces = F.regexp_extract_all(F.upper(text), F.lit("[^A-Z0-9]*[A-Z0-9]+[^A-Z0-9]*$|[^A-Z0-9]*[A-Z0-9]+"), F.lit(0))
+        parted = articles.select(key, pieces.alias("_pieces"))
+        placed = F.transform("_pieces", lambda piece, i: F.struct(F.regexp_extract(piece, "[A-Z0-9]+", 0).alias("head"), i.alias("i")))
+
+        def window(at):
+            before = F.concat(
+                F.coalesce(F.get("_pieces", at["i"] - 1), F.lit("")), F.regexp_extract(F.get("_pieces", at["i"]), "^[^A-Z0-9]*", 0)
+            )
+            own = F.regexp_replace(F.get("_pieces", at["i"]), "^[^A-Z0-9]*", "")
+            return F.struct(at["head"].alias("head"), F.concat(
+                F.right(before, F.lit(front + 1)), own, F.array_join(F.slice("_pieces", at["i"] + 2, F.lit(longest)), "")
+            ).alias("window"))
+
+        windows = F.array_distinct(F.transform(F.filter(placed, lambda at: begins(at["head"])), window))
+        found = parted.select(key, F.explode(windows).alias("_at")).select(
+            key, F.col("_at.head").alias("_head"), F.col("_at.window").alias("_window"))
     whole = F.concat(F.lit(r"(?<![A-Z0-9])\Q"), F.col("_alias"), F.lit(r"\E(?![A-Z0-9])"))
-    spelled = (
-        words.join(names.where("_alias <> _word"), "_word").select(key, "ticker", "_alias")
-        .join(articles.select(key, F.upper(text).alias("_text")), key)
-        .where(F.regexp_like("_text", whole))
-        .select(key, "ticker")
-    )
-    return exact.unionByName(spelled).distinct()
+    return found.join(names, "_head").where((F.col("_alias") == F.col("_head")) | F.regexp_like("_window", whole)).select(key, "ticker").distinct()
 
 
 def ticker_aliases(universe: DataFrame) -> DataFrame:

@@ -162,6 +162,30 @@ def ticker_tagging(spark, sf):
     return news_features.tag_tickers(docs, first_words(spark, sf))
 
 
+MENTIONS = """CASE doc_id % 5 WHEN 0 THEN ' saham ' || lower(n_name) || '.jk naik' WHEN 1 THEN ' (' || n_name || ') turun' WHEN 2 THEN ' indeks ^jkse,'
+    WHEN 3 THEN ' kode X' || n_name || '9 dan A^JKSE' ELSE ' JKSE ' || replace(n_name, ' ', '-') END"""
+
+
+def mentioned(spark, sf):
+    """Whole documents, each behind which some spelling of a stock or of the index is put."""
+    docs, nation = views.table(spark, sf, "documents"), views.table(spark, sf, "nation")
+    named = docs.join(nation, F.col("n_nationkey") == F.col("doc_id") % 25)
+    return named.select(F.col("doc_id").alias("ingest_order"), F.concat("text", F.expr(MENTIONS)).alias("text"))
+
+
+@query("ticker_alias_tagging", sql(
+    """SELECT DISTINCT ingest_order, ticker FROM mentioned JOIN alias ON contains(body, head)
+         AND regexp_matches(body, '(^|[^A-Z0-9])' || replace(replace(alias, '.', '[.]'), '^', '\^') || '($|[^A-Z0-9])')""",
+    mentioned=f"SELECT doc_id AS ingest_order, upper(replace(text || {MENTIONS}, 'ß', 'ss')) AS body FROM documents JOIN nation ON n_nationkey = doc_id % 25",
+    alias="""SELECT ticker, alias, regexp_extract(alias, '[A-Z0-9]+') AS head FROM (
+        SELECT n_name AS ticker, unnest([n_name, n_name || '.JK']) AS alias FROM nation UNION ALL SELECT 'IHSG', unnest(['IHSG', 'IHSG.JK', '^JKSE']))"""))
+def ticker_alias_tagging(spark, sf):
+    """Tickers, suffixed tickers and symbols of the universe and its index, found in whole texts."""
+    index = spark.range(1).select(F.lit("IHSG").alias("ticker"), F.lit("^jkse").alias("yfinance_symbol"))
+    stocks = views.universe(spark, sf).select("ticker", "yfinance_symbol").unionByName(index)
+    return news_features.tag_tickers(mentioned(spark, sf), news_features.ticker_aliases(stocks))
+
+
 GREEDY = {
     "keyed": f"""SELECT ingest_order AS node, ticker, date, coalesce(canonical, '') AS url, {tokens('title')} AS words,
                  row_number() OVER (PARTITION BY ticker ORDER BY ingest_order) AS k

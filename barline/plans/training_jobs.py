@@ -8,10 +8,15 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import backtest, correlation, models, training, upsert
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources.files import exists, write_csv, write_json, write_parquet
 
 
+def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two one-row tables as one row."""
+    return one.select("*", other.select(F.struct("*")).scalar().alias("_other")).select("*", "_other.*").drop("_other")
+
+
 def train_global(
     dataset: DataFrame, output: str, include_news: bool = True, model_name: str = "global_model",
     n_splits: int = 5, gap_dates: int = 1, top_n: int = 10, kind: str = "boosted", classify: bool = True, **size,
@@ -20,27 +25,34 @@ def train_global(
 
     Returns the one-row metrics table. `output` is a folder all executors can reach.
     """
-    rows = cut_lineage(backtest.training_rows(dataset))
+    spark = dataset.sparkSession
+    rows = written(backtest.training_rows(dataset))
     features = models.usable_features(rows, backtest.feature_columns(rows, include_news))
-    metrics = models.cross_validate_returns(rows, features, n_splits, gap_dates, top_n, kind, **size)
-    model = models.fit_return_model(rows, features, kind=kind, **size)
+    table = models.training_table(rows, features, n_splits, gap_dates)
+    fits = models.return_fits(table, [0, *models.fold_numbers(table)], kind, **size)
+    if classify:
+        # the final fit first: it is the longest
+        fits |= models.direction_fits(table, [0, *models.fold_numbers(table, True)], kind, **size)
+    fitted = models.fit_at_once(spark, dict(sorted(fits.items(), key=lambda f: f[0][1])))
+    write_parquet(models.score_folds(table, fitted, "return"), f"{output}/fold_returns", "fold rows")
+    metrics = models.return_quality(spark.read.parquet(f"{output}/fold_returns"), gap_dates, top_n)
+    model = models.with_inputs(rows, features, fitted["return", 0])
     model.write().overwrite().save(f"{output}/model")
     classifier = None
     if classify:
-        quality = models.cross_validate_direction(rows, features, n_splits, gap_dates, kind, **size)
-        renamed = quality.select(*[F.col(c).alias(f"direction_classifier_{c}") for c in quality.columns])
-        metrics = metrics.select("*", *[renamed.select(c).scalar().alias(c) for c in renamed.columns])
-        classifier = models.fit_direction_classifier(rows, features, kind=kind, **size)
+        write_parquet(models.score_folds(table, fitted, "direction"), f"{output}/fold_directions", "fold rows")
+        quality = models.direction_quality(spark.read.parquet(f"{output}/fold_directions"))
+        metrics = _beside(metrics, quality.select(*[F.col(c).alias(f"direction_classifier_{c}") for c in quality.columns]))
+        classifier = models.with_inputs(rows, features, fitted["direction", 0])
         classifier.write().overwrite().save(f"{output}/direction_model")
     span = rows.agg(F.count("*").alias("train_rows"), F.min("date").alias("train_start_date"), F.max("date").alias("train_end_date"))
-    metrics = metrics.select("*", *[span.select(c).scalar().alias(c) for c in span.columns]).withColumns(
+    metrics = _beside(metrics, span).withColumns(
         {"model_name": F.lit(model_name), "model_type": F.lit(kind), "feature_count": F.lit(len(features))}
     )
     write_json(metrics, f"{output}/metrics")
     latest = models.predict_latest(model, dataset, features, classifier, model_name, kind)
     write_parquet(latest, f"{output}/predictions", "predictions")
     write_json(models.feature_importance(model, features), f"{output}/feature_importance")
-    spark = dataset.sparkSession
     write_json(spark.createDataFrame([(json.dumps({"features": features, "model_type": kind}),)], "artifact string"), f"{output}/artifact")
     return spark.read.json(f"{output}/metrics")
 

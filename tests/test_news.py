@@ -56,6 +56,23 @@ def test_tagging(rows):
     assert got == [(1, "BBCA"), (1, "TLKM"), (3, "BONE"), (3, "IHSG")]
 
 
+@pytest.mark.parametrize("few", [0, 2_000])
+def test_tagging_by_windows_is_the_pattern_search(spark, monkeypatch, few):
+    import re
+
+    monkeypatch.setattr(N, "FEW_ALIASES", few)
+    rng = random.Random(5)
+    names = ["AB", "AB.JK", "AB CD", "^AB", "C-D E", "CD", "..X", "X"]
+    signs = [" ", "-", ".", "^", ", ", " ^", "..", "\n", ""]
+    texts = ["".join(rng.choice(["ab", "CD", "x", "Jk", "e", "1"]) + rng.choice(signs) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    texts += ["..x", "^ab", "a^ab", "ab.jk", "c-d e", "c-d e1", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "ingest_order bigint, text string")
+    aliases = spark.createDataFrame([(f"T{k}", a) for k, a in enumerate(names)], "ticker string, alias string")
+    want = {(i, f"T{k}") for i, t in enumerate(texts) for k, a in enumerate(names)
+            if t and re.search(rf"(?<![A-Z0-9]){re.escape(a)}(?![A-Z0-9])", t.upper())}
+    assert {tuple(r) for r in N.tag_tickers(frame, aliases).collect()} == want
+
+
 # --- de-duplication ----------------------------------------------------------------------------
 
 def greedy(items, threshold=0.9):
