@@ -24,19 +24,21 @@ def articles(spark, sf) -> DataFrame:
     return news_features.prepare_articles(views.news(spark, sf), POSITIVE, NEGATIVE)
 
 
+@views.once
 def daily(spark, sf) -> DataFrame:
     return news_features.daily_news(articles(spark, sf))
 
 
-def unique_daily(spark, sf) -> DataFrame:
-    """Daily news features with the vector columns, over de-duplicated articles."""
+def unique_daily(spark, sf, vectors: bool = True) -> DataFrame:
+    """Daily news features over de-duplicated articles."""
     unique = deduplicate_news(views.news(spark, sf))
-    return news_features.daily_news(news_features.prepare_articles(unique, POSITIVE, NEGATIVE), vectors=True)
+    return news_features.daily_news(news_features.prepare_articles(unique, POSITIVE, NEGATIVE), vectors=vectors)
 
 
-def dataset(spark, sf) -> DataFrame:
+def dataset(spark, sf, vectors: bool = True) -> DataFrame:
     """The model-ready table: technical features of every bar fused with daily news and metadata."""
-    return fusion.final_dataset(technical.price_features(views.bars(spark, sf)), unique_daily(spark, sf), views.universe(spark, sf))
+    daily_features = unique_daily(spark, sf, vectors)
+    return fusion.final_dataset(technical.price_features(views.bars(spark, sf)), daily_features, views.universe(spark, sf))
 
 
 def scored_news(spark, sf) -> DataFrame:
@@ -57,6 +59,7 @@ def _probability() -> Column:
     return F.round(0.5 + F.greatest(F.lit(-0.45), F.least(F.lit(0.45), lean)), 4)
 
 
+@views.once
 def scored(spark, sf) -> DataFrame:
     """Labelled rows with two fixed-formula predictors, a probability and a class."""
     r1, r5 = F.col("r1"), F.col("r5")

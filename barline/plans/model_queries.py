@@ -7,11 +7,12 @@ comparable elsewhere.
 
 from pyspark.sql import functions as F
 
+from ..constants import NEWS_FEATURES, PRICE_FEATURES
 from ..operators import backtest, models, training
 from ..session import cut_lineage, run_folder
 from ..sources import views
-from . import derived, price_queries, training_jobs
-from .sqlkit import sql
+from . import derived, news_queries, price_queries, training_jobs
+from .sqlkit import rnd, sql
 
 QUERIES, ORACLES = {}, {}
 FOREST = {"kind": "forest"}
@@ -27,6 +28,7 @@ def query(name, oracle=None):
     return register
 
 
+@views.shared
 def _dataset(spark, sf):
     """The fused dataset, written once as fitting reads its rows many times, and its usable features."""
     rows = cut_lineage(derived.dataset(spark, sf))
@@ -84,6 +86,7 @@ def predict_latest(spark, sf):
     return models.predict_latest(model, rows, features, classifier, model_type="forest")
 
 
+@views.shared
 def _graph_training(spark, sf):
     source = cut_lineage(price_queries.graph_source(spark, sf))
     return training.training_features(source), training.latest_inference_features(source)
@@ -107,6 +110,21 @@ def predict_directions(spark, sf):
     return models.predict_directions(model, latest, categorical + numeric, "forest")
 
 
+_PRICE, _NEWS = ", ".join(f"p.{c}" for c in PRICE_FEATURES), ", ".join(f"{rnd(f'coalesce(f.{c}, 0.0)')} AS {c}" for c in NEWS_FEATURES)
+
+
+@query("dataset_deduplicated", sql(
+    f"""SELECT l.ticker, l.date, u.sector, {_PRICE}, {_NEWS}, e.ticker_encoded, e.sector_encoded, {rnd('e.market_cap_encoded')} AS market_cap_encoded, {rnd('l.target_return')} AS target_return
+        FROM labelled l JOIN universe u USING (ticker) JOIN features p ON p.ticker = l.ticker AND p.date = l.date
+        JOIN enc e ON e.ticker = l.ticker AND e.date = l.date LEFT JOIN folded f ON f.ticker = l.ticker AND f.date = l.date""",
+    True, **price_queries.FEATURE_STEPS, features=price_queries.ALL_FEATURES, **news_queries.UNIQUE_DAILY, **news_queries.LAGGED, enc=news_queries.ENCODED))
+def dataset_deduplicated(spark, sf):
+    """The chain that feeds the models: 56 technical and 13 news features of de-duplicated articles, codes and target."""
+    out = derived.dataset(spark, sf, vectors=False).select(
+        "ticker", "date", "sector", *PRICE_FEATURES, *NEWS_FEATURES, "ticker_encoded", "sector_encoded", "market_cap_encoded", "target_return")
+    return derived.rounded(out, 6, **price_queries.LEVELS)
+
+
 JOB_ROWS = {
     "rows": "SELECT * FROM labelled WHERE target_return IS NOT NULL AND next_day_price IS NOT NULL",
     "d": price_queries.DATES.replace("scored", "rows"), "folds": price_queries.FOLDS,

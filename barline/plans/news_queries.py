@@ -8,7 +8,7 @@ from ..operators import fusion, news_dedup, news_features, serving
 from ..sources import pages as P, payloads, universe as UL, views
 from . import derived
 from .derived import rounded
-from .sqlkit import NEGATIVE, POSITIVE, clean, lexicon, rnd, sql, squeeze, tokens
+from .sqlkit import CTES, NEGATIVE, POSITIVE, clean, lexicon, rnd, sql, squeeze, tokens
 
 QUERIES, ORACLES = {}, {}
 AS_OF = "2024-01-01"
@@ -175,7 +175,7 @@ def mentioned(spark, sf):
 
 @query("ticker_alias_tagging", sql(
     """SELECT DISTINCT ingest_order, ticker FROM mentioned JOIN alias ON contains(body, head)
-         AND regexp_matches(body, '(^|[^A-Z0-9])' || replace(replace(alias, '.', '[.]'), '^', '\^') || '($|[^A-Z0-9])')""",
+         AND regexp_matches(body, '(^|[^A-Z0-9])' || replace(replace(alias, '.', '[.]'), '^', '\\^') || '($|[^A-Z0-9])')""",
     mentioned=f"SELECT doc_id AS ingest_order, upper(replace(text || {MENTIONS}, 'ß', 'ss')) AS body FROM documents JOIN nation ON n_nationkey = doc_id % 25",
     alias="""SELECT ticker, alias, regexp_extract(alias, '[A-Z0-9]+') AS head FROM (
         SELECT n_name AS ticker, unnest([n_name, n_name || '.JK']) AS alias FROM nation UNION ALL SELECT 'IHSG', unnest(['IHSG', 'IHSG.JK', '^JKSE']))"""))
@@ -253,11 +253,23 @@ def news_daily(spark, sf):
     return rounded(derived.daily(spark, sf))
 
 
+#: The daily chain over the articles that the greedy walk keeps.
+UNIQUE_DAILY = {
+    **GREEDY, "kept": "SELECT ticker, node AS ingest_order FROM walk WHERE kept",
+    "articles": CTES["articles"].replace("FROM news)", "FROM news WHERE (ticker, ingest_order) IN (SELECT (ticker, ingest_order) FROM kept))"),
+    **{name: CTES[name] for name in ("per_source", "diversity", "daily0", "daily")},
+}
+
+
+@query("news_daily_deduplicated", sql(f"SELECT ticker, date, {DAILY_COLUMNS} FROM daily", True, **UNIQUE_DAILY))
+def news_daily_deduplicated(spark, sf):
+    return rounded(derived.unique_daily(spark, sf, vectors=False))
+
+
 @query("news_daily_unique")
 def news_daily_unique(spark, sf):
     """De-duplicated articles to daily features with the 50 text dimensions."""
-    unique = news_dedup.deduplicate_news(views.news(spark, sf))
-    return news_features.daily_news(news_features.prepare_articles(unique, POSITIVE, NEGATIVE), vectors=True)
+    return derived.unique_daily(spark, sf)
 
 
 @query("source_diversity", sql(f"SELECT ticker, date, {rnd('source_diversity')} AS source_diversity FROM diversity"))
@@ -362,6 +374,7 @@ def market_cap_score(spark, sf):
         JOIN x ON x.ticker = l.ticker AND x.date = l.date LEFT JOIN folded f ON f.ticker = l.ticker AND f.date = l.date""",
     **LAGGED, enc=ENCODED,
     x="""SELECT ticker, date, avg(target_return) OVER (PARTITION BY date) AS m, avg(target_return) OVER (PARTITION BY date, sector) AS s FROM labelled JOIN universe USING (ticker)"""))
+@views.shared
 def final_dataset(spark, sf):
     out = fusion.final_dataset(views.bars(spark, sf), derived.daily(spark, sf), views.universe(spark, sf))
     picked = out.select(

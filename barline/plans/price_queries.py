@@ -201,10 +201,9 @@ _feature_query("dollar_volume", technical.dollar_volume, DOLLAR, "f1")
 
 ALL = R | VOL | SMA | EMA | RSI | BOLL | ATR | VOLUME | RATIOS | RANGE | SHAPE | OBV | DOLLAR
 ALL = {c: ALL[c] for c in PRICE_FEATURES}
-FEATURES_SQL = sql(
-    "SELECT ticker, date, " + _pick(ALL) + " FROM (SELECT f3.*, EMA_12, EMA_26, MACD_signal, g, l FROM f3 JOIN ema USING (ticker, date))",
-    True, **{k: (EXTRA | RECURSION)[k] for k in ("f1", "f2", "f3", "ema")},
-)
+ALL_FEATURES = "SELECT ticker, date, " + _pick(ALL) + " FROM (SELECT f3.*, EMA_12, EMA_26, MACD_signal, g, l FROM f3 JOIN ema USING (ticker, date))"
+FEATURE_STEPS = {k: (EXTRA | RECURSION)[k] for k in ("f1", "f2", "f3", "ema")}
+FEATURES_SQL = sql(ALL_FEATURES, True, **FEATURE_STEPS)
 
 
 @query("price_features", FEATURES_SQL)
@@ -275,6 +274,7 @@ def session_flag(spark, sf):
 
 # --- correlation graph -------------------------------------------------------------------------
 
+@views.once
 def _edges(spark, sf, bars=None, minimum=20, threshold=0.02):
     observed = correlation.price_observations(bars if bars is not None else views.bars(spark, sf))
     return correlation.return_correlations(observed, minimum, threshold)
@@ -340,6 +340,7 @@ def peers_of(spark, sf):
 
 @query("graph_feature_source", sql(f"""SELECT ticker, date, sector, {rnd('close', 4)} AS close, volume, correlated_peer_count,
     {rnd('correlation_avg_abs', 5)} AS correlation_avg_abs FROM graph_rows"""))
+@views.shared
 def graph_feature_source(spark, sf):
     out = correlation.graph_feature_source(views.bars(spark, sf), views.universe(spark, sf), _edges(spark, sf))
     return rounded(out, 4, correlation_avg_abs=5)
@@ -385,11 +386,13 @@ def graph_source(spark, sf):
 
 
 @query("training_features", TRAIN_SQL)
+@views.shared
 def training_features(spark, sf):
     return rounded(training.training_features(graph_source(spark, sf)), 5, close=4)
 
 
 @query("latest_inference_features", LATEST_SQL)
+@views.shared
 def latest_inference_features(spark, sf):
     return rounded(training.latest_inference_features(graph_source(spark, sf)), 5, close=4)
 
@@ -553,6 +556,7 @@ def mean_metrics(spark, sf, predicted="predicted_return"):
 @query("fold_mean", sql(
     "SELECT " + ", ".join(f"{rnd(c, d)} AS {c}" for c, d in MEAN_DIGITS.items()) + ", folds, evaluation_rows, selection_dates FROM mean",
     **BASE, **_mean_sql("predicted_return")))
+@views.shared
 def fold_mean(spark, sf):
     return rounded(mean_metrics(spark, sf), 4, **MEAN_DIGITS)
 
@@ -599,6 +603,7 @@ COMPARISON_SQL = sql(
 
 
 @query("model_comparison", COMPARISON_SQL)
+@views.shared
 def model_comparison(spark, sf):
     out = comparison(spark, sf).select(
         "baseline_mape", "nlp_model_mape", "mape_improvement_pct", "directional_accuracy_delta", "rank_ic_delta", "top_n_excess_return_delta", "nlp_helped"

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..constants import PRICE_FEATURES
 from ..functions import labels as L, urls as U
 from ..functions.numeric import finite_number, number, text10, whole
 from ..operators import correlation, serving, technical, upsert, valuation
@@ -65,13 +66,16 @@ def price_history(spark, sf):
     return rounded(serving.price_history(views.bars(spark, sf)), 4)
 
 
+CHART = [c for c in serving.HISTORY_COLUMNS if c in PRICE_FEATURES]
+
+
 @query("feature_history", sql(
-    f"""SELECT ticker, date, {rnd('close', 4)} AS close, volume, {rnd('r5')} AS return_5d FROM labelled
-        QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 260"""))
+    f"""SELECT b.ticker, b.date, {", ".join(f"{rnd(f'b.{c}', 4)} AS {c}" for c in ("open", "high", "low", "close"))}, b.volume, {", ".join(f"p.{c}" for c in CHART)}
+        FROM bars b JOIN features p ON p.ticker = b.ticker AND p.date = b.date QUALIFY row_number() OVER (PARTITION BY b.ticker ORDER BY b.date DESC) <= 260""",
+    True, **price_queries.FEATURE_STEPS, features=price_queries.ALL_FEATURES))
 def feature_history(spark, sf):
-    r5 = technical.returns(views.bars(spark, sf)).select("ticker", "date", "return_5d")
-    features = views.bars(spark, sf).select("ticker", "date", "close", "volume").join(r5, ["ticker", "date"])
-    return rounded(serving.feature_history(features), 6, close=4)
+    features = technical.price_features(views.bars(spark, sf))
+    return rounded(serving.feature_history(features), 6, **{**price_queries.LEVELS, **dict.fromkeys(("open", "high", "low", "close"), 4)})
 
 
 CANDLES = """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date,
@@ -284,6 +288,7 @@ def _feed(spark, sf):
 
 
 @query("news_feed", sql(f"SELECT ticker, place, scope, ingest_order, date, {rnd('score')} AS sentiment_score, {LABEL.format('score')} AS sentiment_label FROM feed", **FEED))
+@views.shared
 def news_feed(spark, sf):
     out = _feed(spark, sf).select("ticker", F.col("place").cast("bigint").alias("place"), "scope", "ingest_order", "date", "sentiment_score", "sentiment_label")
     return rounded(out)
@@ -345,6 +350,7 @@ def _summary(spark, sf):
              ELSE 'Recent news around ' || a.ticker || ' is mostly ' || lower({LABEL.format('sentiment_mean')}) || ', based on ' || articles || ' matched article rows in the local news artifact.' END AS summary_text
         FROM asked a LEFT JOIN last_day d USING (ticker) LEFT JOIN heads USING (ticker) LEFT JOIN src USING (ticker)""",
     asked=FEED["asked"], **SUMMARY))
+@views.shared
 def nlp_summary(spark, sf):
     out = _summary(spark, sf).select(
         "ticker", "date", "sentiment_mean", "news_count", "sentiment_momentum", "overall_sentiment", "latest_news_date",
@@ -375,6 +381,7 @@ def index_bars(spark, sf):
         JOIN (SELECT count(*) AS n, count(*) FILTER (predicted_direction = 1) AS b, avg(confidence) AS c, avg(predicted_return) AS r FROM predictions) ON true
         JOIN (SELECT avg(score) AS m, count(*) AS k FROM (SELECT score FROM scored_news ORDER BY date DESC, ingest_order LIMIT 100)) ON true""",
     idx=f"SELECT *, row_number() OVER (ORDER BY date DESC) AS p FROM ({INDEX})"))
+@views.shared
 def market_overview(spark, sf):
     out = serving.market_overview(index_bars(spark, sf), derived.predictions(spark, sf), derived.scored_news(spark, sf), views.bars(spark, sf))
     return rounded(out, 6, close=3, previous_close=3)
@@ -405,6 +412,7 @@ def artifact_validate(spark, sf):
         CASE WHEN (n.directional_accuracy >= 0.53 AND n.mape <= b.mape) OR n.mape <= 0.08 THEN 'Operational' WHEN g <= 0 THEN 'Technical Baseline Stable' ELSE 'Model Active' END AS health
         FROM (SELECT *, (SELECT mape FROM mean_a) AS bm FROM mean_b) n JOIN mean_a b ON true JOIN (SELECT round((x.mape - y.mape) / x.mape * 100, 6) AS g FROM mean_a x JOIN mean_b y ON true) ON true""",
     **price_queries.COMPARED))
+@views.shared
 def model_summary(spark, sf):
     compared = price_queries.comparison(spark, sf)
     return rounded(serving.model_summary(compared, derived.scored(spark, sf), views.news(spark, sf)), 4, improvement_pct=2)
@@ -495,6 +503,7 @@ ANSWER = {
 
 @query("predict_ticker", sql(f"""SELECT ticker, status, sector, {rnd('predicted_return')} AS predicted_return, predicted_direction, {rnd('probability_up')} AS probability_up,
     {rnd('confidence')} AS confidence, prediction_mode, nlp_available, news_count, {rnd('sentiment_score')} AS sentiment_score FROM answer""", **ANSWER))
+@views.shared
 def predict_ticker(spark, sf):
     out = _answers(spark, sf)
     return rounded(out.select(
@@ -506,6 +515,7 @@ def predict_ticker(spark, sf):
     ELSE 'Model prediction is not available for this ticker in the current training universe. Technical signals are shown from latest price features.' END AS message,
     CASE prediction_mode WHEN 'technical_only' THEN 'Limited confidence because recent NLP/news signal is unavailable.'
     WHEN 'technical_snapshot' THEN 'Limited confidence because the trained model signal is unavailable for this ticker.' END AS confidence_note FROM answer""", **ANSWER))
+@views.shared
 def prediction_mode(spark, sf):
     out = _answers(spark, sf)
     return out.select("ticker", "prediction_mode", "message", "confidence_note")
@@ -542,6 +552,7 @@ DRIVERS = {
              WHEN NOT has_news THEN modeled || ' in technical-only mode. The strongest available driver is ' || strongest || '. News sentiment is unavailable for this ticker.'
              ELSE modeled || '. The strongest available driver is ' || strongest || ', while latest news sentiment is ' || lower(mood) || '.' END AS summary
         FROM long l JOIN said s USING (ticker)""", **DRIVERS))
+@views.shared
 def prediction_drivers(spark, sf):
     snapshot = _snapshot(spark, sf)
     answers = _answers(spark, sf, snapshot)

@@ -1,5 +1,7 @@
 """Table scans by suffix and sinks that refuse to write nothing."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -18,18 +20,30 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def _publish(df: DataFrame, path: str, what: str, kind: str, write) -> None:
-    """Writes beside the table and moves there only rows that exist; the plan runs once."""
-    spark, staged = df.sparkSession, f"{path.rstrip('/')}.staged"
+    """Writes beside the table and moves there only rows that exist; the plan runs once.
+
+    Every writer stages in a folder of its own. The old table steps aside by a rename and goes only
+    when the new one stands; if that fails, it steps back. So there is a whole table at any time,
+    at its path or, between two renames, right beside it.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    staged, old = f"{path.rstrip('/')}.staged-{mark}", f"{path.rstrip('/')}.old-{mark}"
     write(df, staged)
     written = spark.read.schema(df.schema).format(kind).option("header", True).load(staged)
-    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+    source, target, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path, old))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if written.isEmpty():
         fs.delete(source, True)
         raise ValueError(f"No {what} to write")
-    fs.delete(target, True)
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(source, target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"{staged} could not be moved to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def write_parquet(df: DataFrame, path: str, what: str = "rows", partition_by=()) -> None:

@@ -3,9 +3,46 @@
 Every view covers its whole input; nothing is sampled, capped or cut.
 """
 
+import functools
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import PRICE_INTERVAL, PRICE_SOURCE, SYMBOL_SUFFIX
+from ..session import written
+
+#: Tables stored so far for the query that is being built; none outside of a `shared` query.
+_STORED: ContextVar[dict | None] = ContextVar("stored", default=None)
+
+
+def shared(query):
+    """A query within which every table marked with `once` is derived and stored a single time."""
+
+    @functools.wraps(query)
+    def run(*args, **kw):
+        token = _STORED.set({})
+        try:
+            return query(*args, **kw)
+        finally:
+            _STORED.reset(token)
+
+    return run
+
+
+def once(derive):
+    """Marks a small table that queries read several times; see `shared`."""
+
+    @functools.wraps(derive)
+    def get(spark, sf_dir, *args, **kw):
+        held = _STORED.get()
+        if held is None or args or kw:
+            return derive(spark, sf_dir, *args, **kw)
+        key = derive.__name__, sf_dir
+        if key not in held:
+            held[key] = written(derive(spark, sf_dir))
+        return held[key]
+
+    return get
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +91,7 @@ def _trades(spark, sf_dir, condition=None) -> DataFrame:
     )
 
 
+@once
 def bars(spark, sf_dir, condition=None) -> DataFrame:
     """One bar per nation and ship date."""
     owners = table(spark, sf_dir, "supplier").join(
