@@ -159,6 +159,20 @@ def daily_update(
         df.write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
 
+    def moments_of(observed):
+        """Pair moments up to the last bar: those stored and the new days', or all anew.
+
+        The stored ones stand for the days up to `through` of the same tickers.
+        """
+        names = ",".join(sorted(t.strip().upper().removesuffix(".JK") for t in tickers)) if tickers else ""
+        held, through = current("pair_moments"), None
+        if held is not None:
+            through = held.where(F.col("scope") == names).agg(F.max("through")).first()[0]
+        added = correlation.pair_moments(observed, through)
+        parts = [added] if through is None else [held.select(*added.columns), added]
+        last = observed.agg(F.max("date")).scalar()
+        return store("pair_moments", correlation.merge_moments(*parts).withColumns({"through": last, "scope": F.lit(names)}))
+
     if "stock_ingestion" in skip or stocks is None:
         done.skipped_steps.append("stock_ingestion")
     else:
@@ -170,6 +184,12 @@ def daily_update(
     if "price_ingestion" in skip or landed_bars is None or known is None:
         done.skipped_steps.append("price_ingestion")
     else:
+        held = current("pair_moments")
+        if held is not None:
+            reached, landed = held.agg(F.max("through")).first()[0], landed_bars.agg(F.min(F.col("date").cast("date"))).first()[0]
+            if reached is not None and landed is not None and landed <= reached:
+                # bars of days that are summed up already: those sums are void before the bars change
+                store("pair_moments", held.limit(0))
         upsert.upsert_bar_table(spark, bars_path, landed_bars, known)
         done.price_rows = upsert.bar_counts(landed_bars, known).first().rows_processed
     bars = spark.read.parquet(bars_path).drop("year") if exists(spark, bars_path) else None
@@ -177,7 +197,7 @@ def daily_update(
         done.skipped_steps.append("correlations")
     else:
         observed = correlation.price_observations(bars, tickers)
-        fresh = correlation.return_correlations(observed, min_observations, min_abs_correlation)
+        fresh = correlation.edges_of_moments(moments_of(observed), min_observations, min_abs_correlation)
         edges = correlation.replace_edges(current("edges", correlation.empty_edges(spark)), fresh, observed, stocks=known)
         done.correlation_rows = store("edges", edges).count()
     source = None

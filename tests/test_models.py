@@ -129,6 +129,29 @@ def test_daily_update_and_direction_model(rows, spark, tmp_path):
     assert "prediction" in nothing.skipped_steps and nothing.feature_rows == 0
 
 
+def test_daily_edges_are_those_of_a_whole_recomputation(rows, spark, tmp_path):
+    from barline.operators import correlation as C
+    from barline.schema import PRICE_BAR
+
+    rng = np.random.default_rng(4)
+    data = []
+    for t in ("AAA", "BBB", "CCC"):
+        walk = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 60)))
+        data += [(t, f"{t}.JK", day(i), float(c), float(c), float(c), float(c), float(c), 10 + i, "yfinance", "1d") for i, c in enumerate(walk)]
+    stocks = rows([(t, f"{t}.JK", t, "X", 1, None) for t in ("AAA", "BBB", "CCC")], "ticker string, yfinance_symbol string, name string, sector string, market_cap_rank int, beta double")
+    rest = ("feature_dataset", "prediction")
+    late = [(*r[:7], r[7] * 1.5, *r[8:]) for r in data if r[0] == "AAA" and r[2] == day(20)]
+    for part in ([r for r in data if r[2] < day(40)], [r for r in data if r[2] >= day(40)], late, None):
+        landed = None if part is None else rows(part, PRICE_BAR)
+        J.daily_update(spark, str(tmp_path), stocks, landed, skip=rest, min_observations=10, min_abs_correlation=0.0)
+        newest = max(int(p.name.split("=")[1]) for p in (tmp_path / "edges").iterdir() if p.name.startswith("version="))
+        got = spark.read.parquet(f"{tmp_path}/edges/version={newest}").orderBy("source_ticker", "target_ticker").collect()
+        bars = spark.read.parquet(f"{tmp_path}/bars")
+        want = C.return_correlations(C.price_observations(bars), 10, 0.0).orderBy("source_ticker", "target_ticker").collect()
+        assert [(r.source_ticker, r.observations, r.last_date) for r in got] == [(r.source_ticker, r.observations, r.last_date) for r in want] and len(got) == 3
+        assert [r.coefficient for r in got] == pytest.approx([r.coefficient for r in want], abs=2e-6)
+
+
 def test_missing_feature_is_an_error(rows):
     with pytest.raises(ValueError, match="Missing model feature column: x"):
         M.predict_directions(None, frame(rows, 1), ["x"])

@@ -116,6 +116,29 @@ def test_correlation_arguments(rows, kw):
         C.return_correlations(closes(rows, {"A": [1, 2]}), **kw)
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_moments_of_spans_add_up_to_a_whole_recomputation(rows, blocks):
+    rng = np.random.default_rng(6)
+    data = []
+    for k in range(8):
+        keep = rng.random(90) < 0.6
+        walk = 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 90)))
+        data += [(f"T{k}", day(i), float(walk[i])) for i in range(90) if keep[i] and not (k == 7 and i < 70)]
+    data += [("FLAT", day(i), 5.0) for i in range(90)]
+    schema = "ticker string, date date, close double"
+    merged, after = None, None
+    for end in (30, 31, 64, 90):  # what a run sees is all bars up to its day
+        added = C.pair_moments(rows([d for d in data if d[1] < day(end)], schema), after, blocks)
+        merged, after = (added if merged is None else C.merge_moments(merged, added)), day(end - 1)
+    whole = C.return_correlations(rows(data, schema), 10, 0.0, ticker_blocks=blocks)
+    order = ["source_ticker", "target_ticker"]
+    got = C.edges_of_moments(merged, 10, 0.0).orderBy(*order).collect()
+    want = whole.orderBy(*order).collect()
+    assert [(r.source_ticker, r.target_ticker, r.observations, r.first_date, r.last_date) for r in got] == [
+        (r.source_ticker, r.target_ticker, r.observations, r.first_date, r.last_date) for r in want]
+    assert [r.coefficient for r in got] == pytest.approx([r.coefficient for r in want], abs=2e-6) and len(got) > 20
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 def test_correlation_matches_pandas_on_ragged_dates(rows, blocks):
     rng = np.random.default_rng(5)
