@@ -6,7 +6,7 @@ from ..constants import PRICE_FEATURES
 from ..functions import labels as L, urls as U
 from ..functions.numeric import finite_number, number, text10, whole
 from ..operators import correlation, serving, technical, upsert, valuation
-from ..sources import views
+from ..sources import files, views
 from . import derived, price_queries
 from .derived import rounded
 from .sqlkit import rnd, sql
@@ -393,6 +393,18 @@ def dataset_stats(spark, sf):
     return serving.dataset_stats({"bars": views.bars(spark, sf), "news": views.news(spark, sf), "universe": views.universe(spark, sf)})
 
 
+LANDED = {"lineitem": "l_shipdate", "orders": "o_orderdate", "documents": None, "pages": None, "absent": None}
+
+
+@query("artifact_status", sql(" UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, true AS exists, true AS has_bytes, count(*) AS rows, {f'CAST(max({d}) AS DATE)' if d else 'CAST(NULL AS DATE)'} AS latest_date FROM {t}"
+    for t, d in LANDED.items() if t != "absent") + " UNION ALL SELECT 'absent', false, false, 0, NULL"))
+def artifact_status(spark, sf):
+    """Landed tables by listing and footers; of data only the timestamps are read."""
+    return files.table_status(spark, sf, LANDED).select(
+        "table_name", "exists", F.coalesce(F.col("size_bytes") > 0, F.lit(False)).alias("has_bytes"), "rows", "latest_date")
+
+
 @query("artifact_validate", sql("""SELECT 'bars' AS table_name, true AS exists, count(*) AS rows, max(date) AS latest_date, '' AS missing_columns, 'ok' AS verdict FROM bars
     UNION ALL SELECT 'news', true, count(*), max(date), 'language', 'missing columns' FROM news UNION ALL SELECT 'predictions', true, count(*), max(CAST(date AS DATE)), '', 'ok' FROM predictions
     UNION ALL SELECT 'report', false, 0, NULL, 'comparison', 'missing'"""))

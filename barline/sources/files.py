@@ -79,3 +79,43 @@ def concat_bars(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+def artifact_status(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, exists and size_bytes (with all files below a folder), by listing alone."""
+    rows = []
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = fs.exists(hadoop)
+        rows.append((path, there, fs.getContentSummary(hadoop).getLength() if there else None))
+    return spark.createDataFrame(rows, "path string, exists boolean, size_bytes bigint")
+
+
+def footer_stats(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """One row with a Parquet table's rows and each column's least and greatest value, read from its footers.
+
+    A session of its own reads the table with the newer source, which takes counts and the extremes
+    of numbers and dates from the footers' statistics instead of scanning data. Extremes of texts and
+    timestamps are not exact there; with them it is a scan of those columns alone.
+    """
+    session = spark.newSession()
+    listed = [s for s in session.conf.get("spark.sql.sources.useV1SourceList").split(",") if s != "parquet"]
+    session.conf.set("spark.sql.sources.useV1SourceList", ",".join(listed))
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    ends = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("least", F.min), ("greatest", F.max))]
+    return session.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), *ends)
+
+
+def table_status(spark: SparkSession, folder: str, dates: dict[str, str | None]) -> DataFrame:
+    """Presence, size, rows and latest date of the Parquet tables of a folder; `dates` names their date columns."""
+    base, rows = folder.rstrip("/"), []
+    for name, column in dates.items():
+        path = f"{base}/{name}.parquet"
+        status = artifact_status(spark, [path]).first()
+        found = footer_stats(spark, path, *([column] if column else [])).first() if status.exists else None
+        latest = str(found[f"greatest_{column}"])[:10] if found is not None and column and found[f"greatest_{column}"] is not None else None
+        rows.append((name, status.exists, status.size_bytes, found.rows if found is not None else 0, latest))
+    return spark.createDataFrame(rows, "table_name string, exists boolean, size_bytes bigint, rows bigint, latest string").select(
+        "table_name", "exists", "size_bytes", "rows", F.to_date("latest").alias("latest_date")
+    )

@@ -248,6 +248,28 @@ def test_strict_records(rows):
         UL.load_stock_records(raw.withColumn("universe_rank", F.lit("x")))
 
 
+def test_footers_answer_counts_and_dates(rows, tmp_path):
+    bars = bars_of(rows, range(1, 41), start=D(2001, 1, 1))
+    files.write_parquet(bars, str(tmp_path / "bars.parquet"), "bars")
+    spark = bars.sparkSession
+    stats = files.footer_stats(spark, str(tmp_path / "bars.parquet"), "date", "close")
+    assert "PushedAggregation: [COUNT(*), MIN(date), MAX(date), MIN(close), MAX(close)]" in stats._jdf.queryExecution().executedPlan().toString()
+    row = stats.first()
+    assert (row.rows, row.least_close, row.greatest_close) == (40, 1.0, 40.0) and row.least_date == D(2001, 1, 1)
+    status = {r.table_name: r for r in files.table_status(spark, str(tmp_path), {"bars": "date", "none": None}).collect()}
+    assert status["bars"].latest_date == row.greatest_date and status["bars"].size_bytes > 0
+    assert (status["none"].exists, status["none"].size_bytes, status["none"].rows) == (False, None, 0)
+
+
+def test_a_failed_publication_leaves_the_old_table(spark, tmp_path):
+    target = str(tmp_path / "t")
+    files.write_parquet(spark.range(3), target, "rows")
+    with pytest.raises(ValueError):
+        files.write_parquet(spark.range(0), target, "rows")
+    files.write_parquet(spark.range(5), target, "rows")
+    assert spark.read.parquet(target).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_csv_universe_and_suffix_dispatch(spark, tmp_path):
     (tmp_path / "u.csv").write_text("ticker , name,sector\nbbca.jk,Bank, Fin\n")
     out = UL.load_universe(UL.read_universe_csv(spark, str(tmp_path / "u.csv"))).first()
