@@ -1,9 +1,10 @@
 """Sentiment, hashed text vectors and daily news features."""
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, HashingTF, Normalizer, RegexTokenizer, StandardScaler
+from pyspark.ml.feature import PCA, HashingTF, Normalizer, PCAModel, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..constants import (
     EMBEDDING_DIMENSIONS, HASHED_TERMS, NEWS_FEATURES, SENTIMENT_BAND, embedding_columns,
@@ -15,11 +16,10 @@ from ..functions.text import (
     text_or_empty,
 )
 from ..schema import require_columns
-from ..session import cut_lineage
 from ..session import written
+from ..sources.files import exists
 from .news_dedup import deduplicate_news
 
-
 #: Aliases up to which their first words are held as a set in the plan.
 FEW_ALIASES = 2_000
 
@@ -179,34 +179,60 @@ def hashed_vectors(articles: DataFrame, text: str = "text", size: int = HASHED_T
     return Pipeline(stages=stages).fit(articles).transform(articles).drop("_words", "_tf")
 
 
-def reduce_vectors(df: DataFrame, column: str = "hashed", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
-    """Centre, project on the leading components, pad with zeros (array column `embedding`).
+def fit_projection(df: DataFrame, column: str = "hashed", dimensions: int = EMBEDDING_DIMENSIONS):
+    """The leading components of sparse vectors and where their mean falls; None below two rows.
 
-    The number of components is bounded by rows and width, so those two counts run first. The
-    vectors are written once, because fitting reads them several times.
+    The covariance comes from the sparse vectors' products with the mean taken off as a rank-one
+    term, so no vector is made dense. Components are as many as rows, width and `dimensions` allow.
     """
     if dimensions < 1:
         raise ValueError("output_dimensions must be at least 1")
-    df = cut_lineage(df)
     head = df.select(column).limit(dimensions + 1).collect()
-    if not head:
-        return df.withColumn("embedding", F.array_repeat(F.lit(0.0), dimensions))
-    width = head[0][0].size
-    parts = vector_to_array(F.col(column))
     if len(head) < 2:
-        kept = min(dimensions, width)
-        body = F.slice(parts, 1, kept)
-        return df.withColumn("embedding", F.concat(body, F.array_repeat(F.lit(0.0), dimensions - kept)))
-    k = min(dimensions, len(head), width)
-    model = Pipeline(
-        stages=[
-            StandardScaler(inputCol=column, outputCol="_centred", withMean=True, withStd=False),
-            PCA(k=k, inputCol="_centred", outputCol="_reduced"),
-        ]
-    ).fit(df)
-    reduced = vector_to_array(F.col("_reduced"))
-    padded = F.concat(reduced, F.array_repeat(F.lit(0.0), dimensions - k)) if k < dimensions else reduced
-    return model.transform(df).withColumn("embedding", padded).drop("_centred", "_reduced")
+        return None
+    k = min(dimensions, len(head), head[0][0].size)
+    model = PCA(k=k, inputCol=column, outputCol="_reduced").fit(df)
+    mean = df.select(Summarizer.mean(F.col(column)).alias("mean")).first().mean.toArray()
+    return model, (mean @ model.pc.toArray()).tolist()
+
+
+def project(df: DataFrame, projection, column: str = "hashed", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
+    """Array column `embedding`: centred components of a fitted projection, padded with zeros."""
+    if projection is None:
+        body = F.slice(vector_to_array(F.col(column)), 1, dimensions)
+        return df.withColumn("embedding", F.concat(body, F.array_repeat(F.lit(0.0), F.lit(dimensions) - F.size(body))))
+    model, offset = projection
+    centred = F.zip_with(vector_to_array(F.col("_reduced")), F.array(*map(F.lit, offset)), lambda x, m: x - m)
+    padded = F.concat(centred, F.array_repeat(F.lit(0.0), dimensions - len(offset)))
+    return model.setInputCol(column).transform(df).withColumn("embedding", padded).drop("_reduced")
+
+
+def store_projection(projection, path: str) -> None:
+    """A projection's model and offset below `path`, replacing none: versions are the caller's."""
+    model, offset = projection
+    model.write().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(offset,)], "offset array<double>").coalesce(1).write.json(f"{path}/offset")
+
+
+def load_projection(spark: SparkSession, path: str):
+    offset = spark.read.schema("offset array<double>").json(f"{path}/offset").first().offset
+    return PCAModel.load(f"{path}/model"), offset
+
+
+def reduce_vectors(df: DataFrame, column: str = "hashed", dimensions: int = EMBEDDING_DIMENSIONS, path: str | None = None) -> DataFrame:
+    """Centre, project on the leading components, pad with zeros (array column `embedding`).
+
+    With `path` a projection stored there is used again, so an article keeps its vector on later
+    days; the first call stores it. The vectors are written once, as fitting reads them several times.
+    """
+    df = written(df)
+    if path is not None and exists(df.sparkSession, f"{path}/offset/_SUCCESS"):
+        return project(df, load_projection(df.sparkSession, path), column, dimensions)
+    projection = fit_projection(df, column, dimensions)
+    if path is not None and projection is not None:
+        store_projection(projection, path)
+    return project(df, projection, column, dimensions)
 
 
 def daily_vectors(articles: DataFrame, dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:

@@ -6,6 +6,7 @@ from ..constants import NEWS_FEATURES, news_feature_columns
 from ..functions import labels as L, text as T, urls as U
 from ..operators import fusion, news_dedup, news_features, serving
 from ..sources import pages as P, payloads, universe as UL, views
+from ..session import run_folder, written
 from . import derived
 from .derived import rounded
 from .sqlkit import CTES, NEGATIVE, POSITIVE, clean, lexicon, rnd, sql, squeeze, tokens
@@ -570,3 +571,20 @@ def pca_reduce(spark, sf):
     docs = views.table(spark, sf, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
     out = news_features.reduce_vectors(news_features.hashed_vectors(docs).select("doc_id", "hashed"))
     return out.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.abs(F.col("embedding")[0]), 4).alias("first"))
+
+
+@query("pca_properties", "SELECT CAST(i AS INTEGER) AS dimension, true AS centred, true AS uncorrelated, true AS ordered, true AS repeatable FROM range(50) t(i)")
+def pca_properties(spark, sf):
+    """What a projection must be, over all documents: and the same again from its stored form."""
+    docs = views.table(spark, sf, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    hashed, path = written(news_features.hashed_vectors(docs).select("doc_id", "hashed")), run_folder(spark)
+    once, again = (news_features.reduce_vectors(hashed, path=path).select("doc_id", F.col("embedding").alias(c)) for c in "ef")
+    values = once.join(again, "doc_id").select(F.posexplode("e").alias("dimension", "x"), "e", "f").select(
+        "dimension", "x", F.get("e", F.col("dimension") + 1).alias("beside"), F.get("f", F.col("dimension")).alias("same"))
+    by = values.groupBy("dimension").agg(
+        F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("var"), F.avg(F.col("x") * F.col("beside")).alias("cross"),
+        F.avg(F.col("beside") * F.col("beside")).alias("var_beside"), F.max(F.abs(F.col("x") - F.col("same"))).alias("apart"))
+    return by.select(
+        "dimension", (F.abs("mean") < 1e-9).alias("centred"),
+        F.coalesce(F.abs("cross") <= 1e-6 * F.sqrt(F.col("var") * F.col("var_beside")), F.lit(True)).alias("uncorrelated"),
+        F.coalesce(F.col("var_beside") <= F.col("var") * (1 + 1e-9), F.lit(True)).alias("ordered"), (F.col("apart") < 1e-12).alias("repeatable"))

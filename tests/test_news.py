@@ -185,6 +185,23 @@ def test_scorer_is_pluggable(rows):
         N.score_text(frame, backend="other")
 
 
+def test_a_stored_projection_gives_the_same_vectors(rows, tmp_path):
+    import numpy as np
+
+    words = "laba bank naik saham turun kredit emas batu bara nikel".split()
+    rng = random.Random(2)
+    frame = rows([(i, " ".join(rng.choices(words, k=rng.randint(2, 9)))) for i in range(40)], "id bigint, text string")
+    hashed = N.hashed_vectors(frame)
+    path = str(tmp_path / "projection")
+    first = {r.id: r.embedding for r in N.reduce_vectors(hashed, dimensions=5, path=path).collect()}
+    later = {r.id: r.embedding for r in N.reduce_vectors(hashed.where("id < 7"), dimensions=5, path=path).collect()}
+    assert all(later[k] == pytest.approx(first[k], abs=1e-12) for k in later) and len(later) == 7
+    x = np.array([r.hashed.toArray() for r in hashed.orderBy("id").collect()])
+    left, size, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    got = np.array([first[k] for k in range(40)])
+    assert np.abs(np.abs(got) - np.abs((left * size)[:, :5])).max() < 1e-9
+
+
 def test_vectors(rows):
     frame = rows([(i, f"kata{i} bank naik saham {'laba ' * i}") for i in range(6)], "id bigint, text string")
     hashed = N.hashed_vectors(frame)
