@@ -4,15 +4,20 @@ Only DataFrame functions are used. A text is lower-cased (A-Z) and cut into word
 letters, digits and non-ASCII characters. Two kinds of evidence are reported:
 
 * places where a phrase's words stand consecutively (the base labels);
-* blocks that hold at least THRESHOLD of a template's distinct words. Blocks are paragraphs:
-  text between blank lines. The join is exact. Template words are ordered by the number of documents that
-  hold them, rarest first. A block that reaches the threshold must hold a word of the template's
-  prefix (its words but the ceil(threshold * size) - 1 last ones); a block with fewer distinct
-  template words than required is too short; and from the place of the first common prefix word
-  only so many words of the template can still follow. What passes is verified in full.
+* blocks that hold at least THRESHOLD of a template's distinct words. Blocks are windows of twice a
+  template's length, one beginning every template length, over the whole text; so any passage as
+  long as the template lies in one. The join is exact. All templates' words have one order by the
+  number of documents that hold them, rarest first, and blocks keep to it. Of t template words and b
+  in a block, `needed` must be common; so both have a common word in their prefixes, the first
+  t - needed + 1 and b - needed + 1 words. Windows are made only around words of a template's prefix;
+  then a block with fewer than `needed` words is too short, one without a common prefix word is out,
+  and from the first common word on both must have words enough left. What passes is verified in
+  full, once per block and template.
 
-The template list is fixed and small, so its vocabulary (some 200 words) and the prefix index are
-literals or broadcast tables whose size doesn't depend on the documents.
+Everything happens within a text's row; nothing but the count of template words is shuffled.
+
+The template list is fixed and small, so its vocabulary (some 200 words) and prefixes are literals
+or scalars whose size doesn't depend on the documents.
 
 Null and empty texts have no words and no labels; first_word and last_word are null and the score
 is 0. Repeated rows are scanned one by one. Other columns are not read.
@@ -31,42 +36,46 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Well-known passages of license texts, by label.
+#: Well-known passages of license texts, a published paragraph each, by label.
 TEMPLATES = {
-    "apache": (
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance "
-        "with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0. Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF "
-        "ANY KIND, either express or implied."
-    ),
-    "bsd": (
+    "apache": [
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS "
+        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer."
-    ),
-    "cc-by": "This work is licensed under a Creative Commons Attribution International License",
-    "gpl": (
+        "the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution International License"],
+    "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version."
-    ),
-    "mit": (
+    ],
+    "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the Software), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
-    ),
-    "mpl": (
+    ],
+    "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at mozilla.org"
-    ),
+    ],
 }
 THRESHOLD = 80  # per cent of a template's distinct words
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _template_words() -> dict[str, list[str]]:
-    return {name: sorted(set(re.split(_BREAK, text.translate(str.maketrans(_UPPER, _SMALL)))) - {""}) for name, text in TEMPLATES.items()}
+def _template_words() -> list[tuple[str, list[str], int]]:
+    """Label, distinct words and length in words of every template."""
+    cut = [
+        (label, [w for w in re.split(_BREAK, text.translate(str.maketrans(_UPPER, _SMALL))) if w])
+        for label, texts in TEMPLATES.items() for text in texts
+    ]
+    return [(label, sorted(set(words)), len(words)) for label, words in cut]
 
 
 def _spaced(text):
@@ -115,51 +124,64 @@ def _words(spaced):
     return F.split(F.trim(spaced), "  ")
 
 
-def _ordered_templates(docs: DataFrame) -> DataFrame:
-    """template, its words from the rarest on, and how many of them a block must hold."""
-    spark = docs.sparkSession
-    by_name = _template_words()
-    rows = spark.createDataFrame([(n, w) for n, words in by_name.items() for w in words], "template string, word string")
-    vocabulary = sorted({w for words in by_name.values() for w in words})
+def word_order(docs: DataFrame) -> list[str]:
+    """All template words, those of the fewest texts first; as many as the fixed templates have."""
+    vocabulary = sorted({w for _, words, _ in _template_words() for w in words})
     held = docs.select(F.explode(F.array_intersect(_words(F.col("_spaced")), F.array(*map(F.lit, vocabulary)))).alias("word"))
-    counts = held.groupBy("word").agg(F.count("*").alias("texts"))
-    return rows.join(counts, "word", "left").groupBy("template").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "word"))), lambda x: x["word"]).alias("words")
-    ).withColumn("needed", F.ceil(F.size("words") * F.lit(THRESHOLD) / 100).cast("int"))
+    texts = {r.word: r["count"] for r in held.groupBy("word").count().collect()}
+    return sorted(vocabulary, key=lambda w: (texts.get(w, 0), w))
+
+
+def _literals(words: list[str]):
+    return F.array(*map(F.lit, words))
+
+
+def _prefix(words, needed: int):
+    """The first words of a set, of which one must be shared if `needed` are."""
+    return F.slice(words, F.lit(1), F.greatest(F.size(words) - needed + 1, F.lit(0)))
+
+
+def passes(block, words: list[str], needed: int):
+    """The length, prefix and position filters of a block and a template's words, both in the global order."""
+    first = F.get(F.array_intersect(_prefix(block, needed), _literals(words[: len(words) - needed + 1])), F.lit(0))
+    left = F.least(F.lit(len(words)) - F.array_position(_literals(words), first), F.size(block) - F.array_position(block, first))
+    return (F.size(block) >= needed) & first.isNotNull() & (1 + left >= needed)
+
+
+def _matches(words, order: list[str], label: str, held: list[str], length: int):
+    """(label, share) of the windows of a text that hold enough of a template's words `held`."""
+    needed = -(-len(held) * THRESHOLD // 100)
+    ordered = [w for w in order if w in held]
+    rare = ordered[: len(ordered) - needed + 1]
+    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(rare))
+    around = F.transform(placed, lambda x: F.floor(x["i"] / F.lit(length)).cast("int"))
+    starts = F.filter(F.array_distinct(F.flatten(F.transform(around, lambda g: F.array(g, g - 1)))), lambda g: g >= 0)
+    blocks = F.transform(starts, lambda g: F.array_intersect(_literals(order), F.slice(words, g * length + 1, F.lit(2 * length))))
+    met = F.filter(blocks, lambda block: passes(block, ordered, needed))
+    shares = F.transform(met, lambda block: F.size(F.array_intersect(block, _literals(ordered))) / F.lit(len(ordered)))
+    return F.transform(
+        F.filter(shares, lambda share: share * 100 >= THRESHOLD), lambda share: F.struct(F.lit(label).alias("label"), share.alias("share"))
+    )
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text) with the base places, all labels and the score."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_spaced", _spaced(F.col("text")))
-    templates = _ordered_templates(docs)
-    prefixes = templates.select(
-        "template", "words", "needed", F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("needed") + 1)).alias("place", "word")
-    )
-    prefix_words = prefixes.agg(F.collect_set("word")).scalar()
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for words in _template_words().values() for w in words})])
-
-    rows = _base(docs).withColumn("_row", F.monotonically_increasing_id())
-    paragraphs = F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.array_intersect(_words(_spaced(p)), vocabulary))
-    promising = F.arrays_overlap(_words(F.col("_spaced")), prefix_words)
-    blocks = rows.withColumn("_blocks", F.when(promising, paragraphs).otherwise(F.array().cast("array<array<string>>")))
-    blocks = blocks.drop("text", "_spaced").withColumn("_block", F.explode_outer("_blocks")).drop("_blocks")
-    word = blocks.withColumn("_word", F.explode_outer(F.array_intersect("_block", prefix_words)))
-    # a fixed number of templates of fixed texts: its size can't grow with the documents
-    index = F.broadcast(prefixes.select("template", F.col("words").alias("_template"), "needed", "place", F.col("word").alias("_word")))
-    could = (F.size("_block") >= F.col("needed")) & (F.size("_template") - F.col("place") >= F.col("needed"))
-    share = F.size(F.array_intersect("_block", "_template")) / F.size("_template")
-    met = word.join(index, "_word", "left").withColumn("_share", F.when(could & F.col("template").isNotNull(), share))
-    met = met.withColumn("_found", F.when(F.col("_share") * 100 >= THRESHOLD, F.col("template")))
-    kept = ("doc_id", "n_words", "n_base", "first_word", "last_word")
-    return (
-        met.groupBy("_row", *kept, "_base")
-        .agg(F.collect_set("_found").alias("_found"), F.max(F.when(F.col("_found").isNotNull(), F.col("_share"))).alias("_best"))
-        .select(
-            *kept,
-            F.array_join("_base", ",").alias("base_labels"),
-            F.array_join(F.array_sort(F.array_union("_base", "_found")), ",").alias("labels"),
-            F.greatest(F.coalesce("_best", F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("score"),
-        )
+    order, templates = word_order(docs), _template_words()
+    rare = set()
+    for _, held, _ in templates:
+        rare.update([w for w in order if w in held][: len(held) - -(-len(held) * THRESHOLD // 100) + 1])
+    words = _words(F.col("_spaced"))
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    found = F.concat(*[_matches(F.col("_words"), order, *template) for template in templates])
+    rows = _base(docs.withColumn("_words", F.when(F.arrays_overlap(words, _literals(sorted(rare))), words)))
+    rows = rows.withColumn("_found", F.when(F.col("_words").isNull(), none).otherwise(found))
+    best = F.array_max(F.transform("_found", lambda x: x["share"]))
+    return rows.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("_base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("_base", F.transform("_found", lambda x: x["label"]))), ",").alias("labels"),
+        F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("score"),
     )
 
 
@@ -174,7 +196,7 @@ def _sql() -> str:
         + " AND ".join(f"w[i + {n}] = '{part}'" if n else f"w[i] = '{part}'" for n, part in enumerate(phrase.split(" ")))
         for phrase, label in PHRASES.items()
     )
-    templates = " UNION ALL ".join(f"SELECT '{name}' AS template, {words} AS t" for name, words in _template_words().items())
+    templates = " UNION ALL ".join(f"SELECT '{label}' AS template, {held} AS t, {length} AS size" for label, held, length in _template_words())
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS body FROM documents),
 words AS (SELECT k, doc_id, {words.format('body')} AS w FROM docs),
@@ -182,9 +204,11 @@ places AS ({places}),
 based AS (
   SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY k
 ), templates AS ({templates}),
-blocks AS (SELECT k, {words.format('block')} AS b FROM (SELECT k, unnest(string_split_regex(body, '\\n[ \\t\\r]*\\n')) AS block FROM docs)),
-met AS (
-  SELECT k, template, max(len(list_intersect(b, t)) / len(t)) AS share FROM blocks, templates
+blocks AS (
+  SELECT k, template, t, list_distinct(w[g * size + 1:g * size + 2 * size]) AS b
+  FROM (SELECT k, w, template, t, size, unnest(range(0, (len(w) + size - 1) // size)) AS g FROM words, templates)
+), met AS (
+  SELECT k, template, max(len(list_intersect(b, t)) / len(t)) AS share FROM blocks
   WHERE 100 * len(list_intersect(b, t)) >= {THRESHOLD} * len(t) GROUP BY k, template
 ), labelled AS (
   SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM places UNION SELECT k, template FROM met) GROUP BY k
