@@ -10,7 +10,7 @@ next round's leaves; rounds follow the logarithm of the row count to the base of
 Hash objects can't leave a process, so a chunk gets the parents above it as (left, right) sibling
 digests, restores each one's state from the left ones once, and resumes copies of it for its rows.
 
-Defined results: a null field is `-`; rows without lang form a language of their own, before the
+Defined results: a null field is `-`; rows without doc_id are never tampered with; rows without lang form a language of their own, before the
 others; within a language rows without doc_id come first, and rows with one doc_id are ordered by
 leaf digest (equal rows have equal leaves; one row per input row is returned). An empty table has
 no rows and no root. Only doc_id, source, lang, n_chars and text are read.
@@ -251,7 +251,7 @@ SQL = f"""
 WITH RECURSIVE crc AS ({CRC_TABLE_SQL}),
 hashed AS (
   SELECT doc_id, coalesce(':' || lang, '') AS g, {_sql_leaf()} AS leaf, {_sql_leaf("n_chars + 1")} AS more,
-    n_chars IS NOT NULL AND {CRC_SQL.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 7 = 0 AS tampered
+    doc_id IS NOT NULL AND n_chars IS NOT NULL AND {CRC_SQL.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 7 = 0 AS tampered
   FROM documents, crc),
 leaves AS (
   SELECT doc_id, g, leaf, CASE WHEN tampered THEN more ELSE leaf END AS changed,
