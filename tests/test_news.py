@@ -116,6 +116,18 @@ def test_dedup_is_the_greedy_rule(spark, seed, prefix):
     assert got == greedy(items)
 
 
+@pytest.mark.parametrize("kind, kept", [("distinct", 1500), ("templates", 6)])
+def test_a_crowded_day_takes_few_rounds(spark, monkeypatch, kind, kept):
+    rng, rounds, settle = random.Random(4), [], D._round
+    monkeypatch.setattr(D, "_round", lambda *a: rounds.append(1) or settle(*a))
+    if kind == "distinct":
+        titles = [sorted(rng.sample([f"w{k}" for k in range(900)], 8)) for _ in range(1500)]
+    else:
+        titles = [sorted([f"c{k}x{i % 6}" for k in range(11)] + [f"n{i}"]) for i in range(1500)]
+    keys = spark.createDataFrame([(i, "T", "d", "", t) for i, t in enumerate(titles)], "node bigint, ticker string, day string, url string, words array<string>")
+    assert D.kept_nodes(keys, prefix=200).count() == kept and len(rounds) <= 5
+
+
 def test_title_dropped_row_does_not_claim_its_url(rows):
     news = rows([
         (1, "A", DAY, "laba bank besar naik tajam", "", "http://x/1", "s"),
