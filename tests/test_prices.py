@@ -159,6 +159,18 @@ def test_correlation_matches_pandas_on_ragged_dates(rows, blocks):
                 assert got[(a, b)] == (pytest.approx(both.iloc[:, 0].corr(both.iloc[:, 1]), abs=1e-6), len(both))
 
 
+@pytest.mark.parametrize("blocks", [1, 12])
+def test_no_series_is_shuffled_to_its_pairs(rows, blocks):
+    rng = np.random.default_rng(8)
+    held = {f"T{k:02}": sorted(rng.choice(70, 40, replace=False).tolist()) for k in range(14)}
+    obs = rows([(t, day(i), float(rng.uniform(90, 110))) for t, at in held.items() for i in at], "ticker string, date date, close double")
+    edges = C.return_correlations(obs, 2, 0.0, ticker_blocks=blocks)
+    assert "hashpartitioning" not in edges._jdf.queryExecution().executedPlan().toString()
+    got = {(e.source_ticker, e.target_ticker): (e.observations, e.first_date, e.last_date) for e in edges.collect()}
+    common = {(a, b): sorted(set(held[a][1:]) & set(held[b][1:])) for a in held for b in held if a < b}
+    assert got == {pair: (len(at), day(at[0]), day(at[-1])) for pair, at in common.items()}
+
+
 def test_edges_outside_the_scope_stay(rows, spark):
     fresh = C.return_correlations(closes(rows, {"AAA": [100, 110, 132], "BBB": [200, 220, 264]}), 2)
     old = fresh.select(*[F.lit("OLD").alias(c) if c == "source_ticker" else F.col(c) for c in fresh.columns]).unionByName(
