@@ -29,6 +29,8 @@ from ..session import run_folder, written
 
 #: Articles of a day that enter first, and how much larger each further prefix is.
 PREFIX, GROWTH = 4096, 4
+#: Words of 64 bits, a power of two, in the sketch of a title's words.
+SKETCH = 4
 #: Shares of a day at which a prefix may end.
 CUTS = [1 / GROWTH**k for k in range(12, 0, -1)]
 KEPT = StructType([StructField("ticker", StringType()), StructField("node", LongType())])
@@ -63,42 +65,51 @@ def similar_titles(left: DataFrame, right: DataFrame | None = None, threshold: f
     Without `right` the classes of `left` among themselves, a before b. Titles that match without
     being equal have at least TITLE_MIN_TOKENS words and a Jaccard similarity of at least
     `floor`: of the words in one fixed order, each has a common one among its first
-    n - ceil(floor * n) + 1. The order is by the classes of the day that hold a word. Only ids
-    and places meet; the words come back by id for the exact test.
+    n - ceil(floor * n) + 1. The order is by the classes of the day that hold a word. Words travel
+    as marks, hashes of ticker, day and word: equal ones never part, unlike ones that share a mark
+    only add candidates. Only ids, places and sketches of the marks meet; a sketch bounds the
+    common words from above, so the words come back by id, for the exact test, for few pairs.
     """
     floor = min(threshold, TITLE_MIN_JACCARD)
 
-    def words_of(rows):
-        return rows.where(F.size("words") >= TITLE_MIN_TOKENS).select(
-            "ticker", "day", "cls", F.size("words").alias("n"), F.explode("words").alias("word")
-        )
+    def marks_of(rows):
+        marks = F.transform("words", lambda word: F.xxhash64("ticker", "day", word))
+        return rows.where(F.size("words") >= TITLE_MIN_TOKENS).select("ticker", "cls", F.size("words").alias("n"), F.explode(marks).alias("mark"))
 
-    posted = words_of(left).withColumn("side", F.lit(1))
+    posted = marks_of(left).withColumn("side", F.lit(1))
     if right is not None:
-        posted = posted.unionByName(words_of(right).withColumn("side", F.lit(2)))
-    day_word = ["ticker", "day", "word"]
-    shared = posted.groupBy(*day_word).agg(F.count("*").alias("held")).where("held > 1")
+        posted = posted.unionByName(marks_of(right).withColumn("side", F.lit(2)))
     ranked = (
-        posted.join(shared, day_word, "left").groupBy("side", "ticker", "day", "cls", "n")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "word"))).alias("ranked"))
+        posted.withColumn("held", F.count("*").over(W.partitionBy("mark"))).groupBy("side", "ticker", "cls", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("held", "mark"))).alias("ranked"))
     )
     first = (F.col("n") - F.ceil(F.col("n") * F.lit(floor) - F.lit(1e-9)) + 1).cast("int")
+    bits = [
+        F.expr(f"aggregate(ranked, 0L, (s, x) -> s | if((shiftright(x.mark, 6) & {SKETCH - 1}) = {k}, shiftleft(1L, cast(x.mark & 63 as int)), 0L))")
+        for k in range(SKETCH)
+    ]
     prefixes = ranked.select(
-        "side", "ticker", "day", "cls", "n", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(first, F.lit(1)))).alias("place", "at")
-    ).where("at.held > 1").withColumn("word", F.col("at.word")).drop("at")
+        "side", "ticker", "cls", "n", F.array(*bits).alias("bits"),
+        F.posexplode(F.slice("ranked", F.lit(1), F.greatest(first, F.lit(1)))).alias("place", "at"),
+    ).where("at.held > 1").withColumn("mark", F.col("at.mark")).drop("at")
 
     def side(k, name):
         return prefixes.where(F.col("side") == (1 if right is None else k)).select(
-            *day_word, F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("place").alias(f"place_{name}")
+            "ticker", "mark", *[F.col(c).alias(f"{c}_{name}") for c in ("n", "place", "bits")], F.col("cls").alias(name)
         )
 
-    both = F.col("n_a") + F.col("n_b")
+    def most(name, other):
+        # a bit that only one title has stands for at least one word that the other lacks
+        lacked = sum((F.bit_count(F.expr(f"bits_{name}[{k}] & ~bits_{other}[{k}]")) for k in range(SKETCH)), F.lit(0))
+        return F.col(f"n_{name}") - lacked
+
+    least = (F.col("n_a") + F.col("n_b")) * F.lit(floor / (1 + floor)) - F.lit(1e-9)
     room = 1 + F.least(F.expr("n_a - 1 - place_a"), F.expr("n_b - 1 - place_b"))
     candidates = (
-        side(1, "a").join(side(2, "b"), day_word)
+        side(1, "a").join(side(2, "b"), ["ticker", "mark"])
         .where(F.col("a") < F.col("b") if right is None else F.col("a") != F.col("b"))
         .where((F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(floor) - F.lit(1e-9)))
-        .where(room >= both * F.lit(floor / (1 + floor)) - F.lit(1e-9))
+        .where(room >= least).where(F.least(most("a", "b"), most("b", "a")) >= least)
         .select("ticker", "a", "b").distinct()
     )
     of_a = left.select("ticker", F.col("cls").alias("a"), F.col("words").alias("words_a"))
@@ -152,7 +163,7 @@ def _round(open_rows: DataFrame, edges: DataFrame, phase: int) -> DataFrame:
     holders = open_rows.where("url <> ''").groupBy("ticker", "url").agg(F.min("node").alias("holder"))
     ready = active.where("cls IS NULL").unionByName(active.where("cls IS NOT NULL").join(leaders, ["ticker", "node"], "left_semi"))
     named = ready.where("url <> ''").join(holders, ["ticker", "url"]).where("holder = node").drop("holder")
-    return named.unionByName(ready.where("url = ''")).select("ticker", "node", "url", "cls", "day", "words", "crowd")
+    return named.unionByName(ready.where("url = ''")).select("ticker", "node", "url", "cls", "crowd")
 
 
 def kept_nodes(keys: DataFrame, threshold: float = TITLE_SIMILARITY, prefix: int = PREFIX) -> DataFrame:
@@ -168,11 +179,16 @@ def kept_nodes(keys: DataFrame, threshold: float = TITLE_SIMILARITY, prefix: int
     # without URL and title words nothing can match, so such articles don't fold
     alone = F.when((F.col("url") == "") & (F.size("words") == 0), F.col("node")).alias("alone")
     folded = written(keys.groupBy("ticker", "day", "url", "words", alone).agg(F.min("node").alias("node")).drop("alone"))
-    open_rows = written(_with_classes(folded, prefix))
+    placed = written(_with_classes(folded, prefix))
+    # a class is named by its first article, which has its words; they don't travel in the rounds
+    titles = placed.where("cls = node").select("ticker", "day", "cls", "words")
+    open_rows = placed.drop("day", "words")
     last = open_rows.agg(F.max("phase")).first()[0]
     kept = None  # of crowded days, for what enters later
     for phase in range(0 if last is None else last + 1):
-        classes = open_rows.where(f"cls IS NOT NULL AND phase <= {phase}").groupBy("ticker", "day", "cls").agg(F.first("words").alias("words"))
+        classes = titles
+        if last:
+            classes = titles.join(open_rows.where(F.col("phase") <= phase), ["ticker", "cls"], "left_semi").select(titles.columns)
         if phase and kept is not None:
             struck = written(similar_titles(kept, classes, threshold).select("ticker", F.col("b").alias("cls")).distinct())
             open_rows = written(_unstruck(open_rows, struck, "cls"))
@@ -190,7 +206,7 @@ def kept_nodes(keys: DataFrame, threshold: float = TITLE_SIMILARITY, prefix: int
             rest = _unstruck(rest, urls, "url").join(chosen.select("ticker", "node"), ["ticker", "node"], "left_anti")
             open_rows = written(rest)
             if phase < last:
-                led = chosen.where("crowd AND cls IS NOT NULL").select("ticker", "day", "cls", "words")
+                led = titles.join(chosen.where("crowd"), ["ticker", "cls"], "left_semi").select(titles.columns)
                 kept = led if kept is None else kept.unionByName(led)
     if not parts:
         return spark.createDataFrame([], KEPT)
@@ -204,9 +220,13 @@ def deduplicate_news(
     prefix: int = PREFIX,
 ) -> DataFrame:
     """Articles that survive the greedy rule; `order` must be unique within a ticker."""
-    kept = kept_nodes(dedup_keys(news, order), threshold, prefix)
+    return surviving(news, kept_nodes(dedup_keys(news, order), threshold, prefix), order)
+
+
+def surviving(rows: DataFrame, kept: DataFrame, order: str = "ingest_order") -> DataFrame:
+    """Rows of articles, or of what was read from them, that are among the `kept_nodes`."""
     kept = kept.select(F.col("ticker").alias("_ticker"), F.col("node").alias(order))
-    keyed = news.withColumn("_ticker", normalize_ticker(text_or_empty(F.col("ticker"))))
+    keyed = rows.withColumn("_ticker", normalize_ticker(text_or_empty(F.col("ticker"))))
     return keyed.join(kept, ["_ticker", order], "left_semi").drop("_ticker")
 
 

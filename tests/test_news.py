@@ -128,6 +128,15 @@ def test_a_crowded_day_takes_few_rounds(spark, monkeypatch, kind, kept):
     assert D.kept_nodes(keys, prefix=200).count() == kept and len(rounds) <= 5
 
 
+def test_candidates_carry_marks_instead_of_words(spark):
+    titles = [(i, sorted({f"word{i // 2}x{k}" for k in range(9)} | {f"own{i}"})) for i in range(40)]
+    left = spark.createDataFrame([("T", "d", i, t) for i, t in titles], "ticker string, day string, cls bigint, words array<string>")
+    found = D.similar_titles(left)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(i, i + 1) for i in range(0, 40, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "explode(words" not in plan
+
+
 def test_title_dropped_row_does_not_claim_its_url(rows):
     news = rows([
         (1, "A", DAY, "laba bank besar naik tajam", "", "http://x/1", "s"),
