@@ -18,7 +18,7 @@ from ..functions.text import (
 from ..schema import require_columns
 from ..session import written
 from ..sources.files import exists
-from .news_dedup import deduplicate_news
+from .news_dedup import dedup_keys, deduplicate_news, kept_nodes, surviving
 
 #: Aliases up to which their first words are held as a set in the plan.
 FEW_ALIASES = 2_000
@@ -162,6 +162,17 @@ def daily_news(articles: DataFrame, vectors: bool = False) -> DataFrame:
     return out.select(*day, *NEWS_FEATURES)
 
 
+def unique_daily_news(news: DataFrame, positive=None, negative=None, vectors: bool = False, order: str = "ingest_order") -> DataFrame:
+    """`daily_news` of the articles that survive de-duplication.
+
+    Every text is read where it lies and what it gives is stored; the surviving articles are
+    picked from that, so no text travels.
+    """
+    articles = prepare_articles(news, positive, negative)
+    scored = written((hashed_vectors(articles) if vectors else articles).drop("text"))
+    return daily_news(surviving(scored, kept_nodes(dedup_keys(news, order)), order), vectors)
+
+
 def with_momentum(daily: DataFrame) -> DataFrame:
     """Difference to the ticker's previous news day; the first day gets 0."""
     w = W.partitionBy("ticker").orderBy("date")
@@ -237,7 +248,7 @@ def reduce_vectors(df: DataFrame, column: str = "hashed", dimensions: int = EMBE
 
 def daily_vectors(articles: DataFrame, dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
     """Mean of each embedding dimension per ticker and date, as scalar columns."""
-    hashed = hashed_vectors(articles).select("ticker", "date", "hashed")
+    hashed = (articles if "hashed" in articles.columns else hashed_vectors(articles)).select("ticker", "date", "hashed")
     reduced = reduce_vectors(hashed, dimensions=dimensions)
     return reduced.groupBy("ticker", "date").agg(
         *[F.avg(F.col("embedding")[i]).alias(c) for i, c in enumerate(embedding_columns(dimensions))]

@@ -137,6 +137,16 @@ def test_candidates_carry_marks_instead_of_words(spark):
     assert "bit_count" in plan and "explode(words" not in plan
 
 
+def test_no_text_travels_to_the_daily_features(rows, monkeypatch):
+    stored, store = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, *a: stored.append(df.columns) or store(df, *a))
+    data = [(i, "A", DAY, f"title {'same' if i < 2 else f'no{i}'} of the day", "rise and fall", f"http://x/{max(i, 1)}", f"s{i}", None) for i in range(5)]
+    news = rows(data, "ingest_order bigint, ticker string, date date, title string, summary string, url string, source string, sentiment_score double")
+    got = N.unique_daily_news(news, ["rise"], ["fall"]).collect()
+    assert got == N.daily_news(N.prepare_articles(D.deduplicate_news(news), ["rise"], ["fall"])).collect()
+    assert got[0].news_count == 4 and stored and all("text" not in c for c in stored)
+
+
 def test_title_dropped_row_does_not_claim_its_url(rows):
     news = rows([
         (1, "A", DAY, "laba bank besar naik tajam", "", "http://x/1", "s"),
