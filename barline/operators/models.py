@@ -16,7 +16,7 @@ from ..functions.labels import confidence_from_probability, confidence_from_retu
 from .backtest import (
     classifier_fold_mean, classifier_metrics, confusion_metrics, exact_auc, fold_dates, fold_mean, fold_metrics,
 )
-from ..session import run_folder, written
+from ..session import even_partitions, run_folder, written
 from .serving import latest_rows
 
 #: How deep a forest's trees may grow, and the memory of a pass over nodes and their statistics.
@@ -199,7 +199,8 @@ def training_table(
         (F.least("ones", F.col("known") - F.col("ones")) > 0).alias("two_classes"),
     )
     folder = run_folder(df.sparkSession)
-    table.write.partitionBy("fold", "role").parquet(folder)
+    # every task holds a share of every fold, so a fit reads its rows on all cores
+    table.repartition(even_partitions(df), "fold", "role", "ticker", "date").write.partitionBy("fold", "role").parquet(folder)
     return df.sparkSession.read.schema(table.schema).parquet(folder)
 
 

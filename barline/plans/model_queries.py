@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NEWS_FEATURES, PRICE_FEATURES
 from ..operators import backtest, models, training
-from ..session import cut_lineage, run_folder
+from ..session import cut_lineage, run_folder, spread
 from ..sources import views
 from . import derived, news_queries, price_queries, training_jobs
 from .sqlkit import rnd, sql
@@ -31,7 +31,7 @@ def query(name, oracle=None):
 @views.shared
 def _dataset(spark, sf):
     """The fused dataset, written once as fitting reads its rows many times, and its usable features."""
-    rows = cut_lineage(derived.dataset(spark, sf))
+    rows = spread(derived.dataset(spark, sf))
     return rows, models.usable_features(rows, backtest.feature_columns(rows))
 
 
@@ -94,7 +94,7 @@ def _graph_training(spark, sf):
 
 @query("direction_baseline")
 def direction_baseline(spark, sf):
-    data = cut_lineage(_graph_training(spark, sf)[0])
+    data = spread(_graph_training(spark, sf)[0])
     train, test = backtest.train_test(data)
     categorical, numeric = backtest.direction_feature_columns(data)
     model = models.direction_baseline(categorical, numeric, **FOREST).fit(train)
@@ -104,7 +104,7 @@ def direction_baseline(spark, sf):
 @query("predict_directions")
 def predict_directions(spark, sf):
     data, latest = _graph_training(spark, sf)
-    data = cut_lineage(data)
+    data = spread(data)
     categorical, numeric = backtest.direction_feature_columns(data)
     model = models.direction_baseline(categorical, numeric, **FOREST).fit(data)
     return models.predict_directions(model, latest, categorical + numeric, "forest")

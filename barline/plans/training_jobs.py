@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import backtest, correlation, models, training, upsert
-from ..session import cut_lineage, written
+from ..session import cut_lineage, spread, written
 from ..sources.files import exists, write_csv, write_json, write_parquet
 
 
@@ -93,7 +93,7 @@ def comparison_report(comparison: DataFrame, importance: DataFrame | None = None
 
 def train_direction(dataset: DataFrame, output: str, test_size: float = 0.2, kind: str = "boosted", **size) -> DataFrame:
     """Chronological split, fit, test metrics, stored model; returns the metrics row."""
-    dataset = cut_lineage(dataset)
+    dataset = spread(dataset)
     train, test = backtest.train_test(dataset, test_size)
     categorical, numeric = backtest.direction_feature_columns(dataset)
     used = models.usable_features(train, numeric)

@@ -43,6 +43,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def even_partitions(df: DataFrame) -> int:
+    """About as many partitions as `df` has, in whole rounds of all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, round(df.rdd.getNumPartitions() / cores)) * cores
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in reliable storage, dealt evenly over all cores: a small table comes in few partitions, which hold up what reads it often."""
+    stored = cut_lineage(df)
+    parts = even_partitions(stored)
+    return stored if parts == stored.rdd.getNumPartitions() else cut_lineage(stored.repartition(parts))
+
+
 def run_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder, for tables a job writes and reads back."""
     ensure_checkpoint_dir(spark)

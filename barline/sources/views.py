@@ -6,11 +6,15 @@ Every view covers its whole input; nothing is sampled, capped or cut.
 import functools
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import PRICE_INTERVAL, PRICE_SOURCE, SYMBOL_SUFFIX
 from ..session import written
 
+#: Suppliers up to which their instrument is broadcast to the trades.
+FEW_OWNERS = 1_000_000
+#: Instruments up to which the ends of their days are broadcast; each has the days of a calendar at most.
+FEW_TICKERS = 100
 #: Tables stored so far for the query that is being built; none outside of a `shared` query.
 _STORED: ContextVar[dict | None] = ContextVar("stored", default=None)
 
@@ -49,7 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _daily(trades: DataFrame) -> DataFrame:
+def _span() -> dict[str, Column]:
+    """High, low and volume of a group of trades."""
+    return {"high": F.max("price"), "low": F.min("price"), "volume": F.sum("l_quantity").cast("bigint")}
+
+
+def _daily(trades: DataFrame, **span: Column) -> DataFrame:
     """Trades to one bar per ticker and day; open and close by the trades' full order."""
     order = F.struct(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
@@ -59,10 +68,8 @@ def _daily(trades: DataFrame) -> DataFrame:
         trades.groupBy("ticker", "date")
         .agg(
             F.min(F.struct(order.alias("o"), price.alias("p"))).alias("first"),
-            F.max(price).alias("high"),
-            F.min(price).alias("low"),
             F.max(F.struct(order.alias("o"), price.alias("p"))).alias("last"),
-            F.sum("l_quantity").cast("bigint").alias("volume"),
+            *[value.alias(name) for name, value in (span or _span()).items()],
         )
         .select(
             "ticker",
@@ -80,6 +87,24 @@ def _daily(trades: DataFrame) -> DataFrame:
     )
 
 
+def _daily_of_few(trades: DataFrame) -> DataFrame:
+    """`_daily` where few instruments share many trades, in two readings without a sort of them.
+
+    The first folds days by hash to plain numbers, among them the order keys at the day's ends
+    (null comes first). Only trades with these keys decide open and close, so only they reach
+    the aggregate of whole orders, which has to sort.
+    """
+    key = F.col("l_orderkey")
+    days = trades.groupBy("ticker", "date").agg(
+        F.when(F.count(key) == F.count("*"), F.min(key)).alias("begin"), F.max(key).alias("end"),
+        *[value.alias(name) for name, value in _span().items()],
+    )
+    ends = F.broadcast(days.withColumnsRenamed({"ticker": "_ticker", "date": "_date"}))
+    same = F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col("date").eqNullSafe(F.col("_date"))
+    at_end = key.eqNullSafe(F.col("begin")) | key.eqNullSafe(F.col("end"))
+    return _daily(trades.join(ends, same & at_end), **{c: F.any_value(c) for c in _span()})
+
+
 def _trades(spark, sf_dir, condition=None) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     if condition is not None:
@@ -94,11 +119,12 @@ def _trades(spark, sf_dir, condition=None) -> DataFrame:
 @once
 def bars(spark, sf_dir, condition=None) -> DataFrame:
     """One bar per nation and ship date."""
-    owners = table(spark, sf_dir, "supplier").join(
-        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    ).select("s_suppkey", F.col("n_name").alias("ticker"))
-    trades = _trades(spark, sf_dir, condition)
-    return _daily(trades.join(owners, F.col("l_suppkey") == F.col("s_suppkey")))
+    suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    owners = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("ticker"))
+    if suppliers.count() <= FEW_OWNERS:
+        owners = F.broadcast(owners)
+    trades = _trades(spark, sf_dir, condition).join(owners, F.col("l_suppkey") == F.col("s_suppkey"))
+    return _daily_of_few(trades) if nations.count() <= FEW_TICKERS else _daily(trades)
 
 
 def bars_wide(spark, sf_dir) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barline.functions import calendar as CAL, labels as L
 from barline.operators import backtest as B, models as M, valuation as V
 from barline.plans import training_jobs as J
+from barline.session import spread
 
 DAY0 = dt.date(2026, 1, 1)
 
@@ -225,3 +226,13 @@ def test_threshold_labels(spark):
 def test_argument_helpers():
     assert CAL.range_to_period("1M") == "1mo" and CAL.range_to_period("ALL") == "max" and CAL.range_to_period("?") == "1y"
     assert (CAL.clamp_limit("500", 10), CAL.clamp_limit("x", 10), CAL.clamp_limit(0, 10)) == (100, 10, 1)
+
+
+def test_training_rows_use_all_cores(rows, spark):
+    few = frame(rows, 40).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    out = spread(few)
+    sizes = [len(part) for part in out.rdd.glom().collect()]
+    assert len(sizes) == cores and min(sizes) >= 80 // cores - 2 and sorted(out.collect()) == sorted(few.collect())
+    table = M.training_table(out, ["close", "return_1d"], 2, 1).where("fold = 0 AND role = 'train'")
+    assert table.select(F.input_file_name()).distinct().count() == cores and table.count() == 80

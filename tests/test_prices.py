@@ -349,3 +349,26 @@ def test_movers_ties_and_bad_previous(rows):
     data = bars_of(rows, [10, 11], "BBB").unionByName(bars_of(rows, [20, 22], "AAA")).unionByName(bars_of(rows, [0, 5], "ZERO")).unionByName(bars_of(rows, [5], "ONE"))
     out = S.movers(data, limit=1).collect()
     assert [(r.side, r.ticker) for r in out] == [("gainers", "AAA"), ("losers", "AAA")]
+
+
+def test_days_of_few_instruments_fold_by_hash(rows):
+    from barline.sources import views
+
+    day = D(2026, 1, 5)
+    data = [(k, k % 3, 1, 1, 100.0 * (k % 7 + 1), 4.0, f"T{k % 2}", day if k % 5 else None, 25.0 * (k % 7 + 1)) for k in range(1, 60)]
+    data += [(1, 0, p, s, 10.0, 2.0, "T1", day, 5.0 + p + s) for p in (1, 2) for s in (0, 1)]  # equal keys: the rest of the order decides
+    data += [(None, 1, 1, 1, 60.0, 2.0, "T0", day, 30.0), (90, 1, 1, 1, None, 2.0, "T0", day, None), (2, 1, 1, 1, 8.0, 2.0, None, day, 4.0)]
+    trades = rows(data, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, "
+                        "ticker string, date date, price double")
+    few, plain = views._daily_of_few(trades), views._daily(trades)
+    assert few.schema == plain.schema and few.exceptAll(plain).isEmpty() and plain.exceptAll(few).isEmpty()
+    first = few.where("ticker = 'T0' AND date IS NOT NULL").first()
+    assert first.open == 30.0 and first.close is None  # no key comes first, and a last trade without a price counts
+
+
+def test_bars_sort_and_shuffle_no_trades(spark):
+    from barline.sources import views
+
+    text = views.bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    below = text[text.rindex("HashAggregate"):]
+    assert text.count("SortAggregate") == 2 and "BroadcastHashJoin" in below and "SortMergeJoin" not in text and "SortAggregate" not in below
