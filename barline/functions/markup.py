@@ -9,6 +9,8 @@ from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, functions as F
 
+from .text import given
+
 _TAG = r"""</?+[a-z][^\s/>]*+(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
 _HIDDEN = r"<!--(?:[^-]++|-(?!->))*+(?:-->|\z)|<(script|style)\b[^>]*+>(?:[^<]++|<(?!/\1\b))*+(?:</\1[^>]*+>|\z)|<[!?][^>]*+>"
 _TEXT = r"[^<]*+(?:<(?![a-z/!?])[^<]*+)*+"
@@ -30,11 +32,6 @@ def _constant_map(items: dict) -> Column:
     return F.str_to_map(F.lit(text), F.lit("\u0001"), F.lit("\u0002"))
 
 
-def given(value: Column, use) -> Column:
-    """`use(value)`, where the expression `value` stands and is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def tokens(html: Column) -> Column:
     """The tokens of a page, in order; text in front of the first tag is none."""
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN), F.lit(0))

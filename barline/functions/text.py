@@ -15,8 +15,14 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def given(value: Column, use) -> Column:
+    """`use(value)`, where the expression `value` stands and is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"[{BLANK}]+", " "))
+    # a blank that stands alone stays as it is, which is most of them
+    return F.trim(F.regexp_replace(c, f"[{BLANK}]{{2,}}+|[{BLANK}&&[^ ]]", " "))
 
 
 def non_empty(c: Column) -> Column:
@@ -53,24 +59,24 @@ def article_text(title: Column, summary: Column) -> Column:
 
 
 def lexicon_sentiment(c: Column, positive=None, negative=None) -> Column:
-    """(positive - negative) / sqrt(words), clamped to one; a single pass over the words."""
+    """(positive - negative) / sqrt(words), clamped to one; a term in both lists is positive.
+
+    Listed words are filtered from the others first, so next to nothing is evaluated word by word.
+    """
     plus = list(positive or POSITIVE_TERMS)
-    minus = list(negative or NEGATIVE_TERMS)
-    words = F.regexp_extract_all(c, F.lit("([a-zA-Z]+)"), 1)
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("s"))
-
-    def step(acc, word):
-        low = F.lower(word)
-        vote = F.when(low.isin(plus), 1).when(low.isin(minus), -1).otherwise(0)
-        return F.struct((acc["n"] + 1).alias("n"), (acc["s"] + vote).alias("s"))
-
-    def finish(acc):
-        ratio = acc["s"] / F.sqrt(acc["n"].cast("double"))
-        return F.when(acc["s"] == 0, F.lit(0.0)).otherwise(
-            F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))
-        )
-
-    return F.aggregate(words, start, step, finish)
+    terms = list(dict.fromkeys([*plus, *(negative or NEGATIVE_TERMS)]))
+    longest = max(map(len, terms))
+
+    def score(words, hits):
+        votes = 2 * F.size(F.filter(hits, lambda w: F.lower(w).isin(plus))) - F.size(hits)
+        ratio = votes / F.sqrt(F.size(words).cast("double"))
+        return F.when(votes == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
+
+    def listed(words):
+        return F.filter(words, lambda w: (F.octet_length(w) <= longest) & F.lower(w).isin(terms))
+
+    words = F.regexp_extract_all(c, F.lit("[a-zA-Z]++"), F.lit(0))
+    return given(words, lambda words: F.when(words.isNotNull(), given(listed(words), lambda hits: score(words, hits))))
 
 
 def title_tokens(title: Column) -> Column:

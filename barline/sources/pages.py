@@ -6,8 +6,8 @@ that mention a wanted tag are cut into tokens at all.
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.markup import attribute, given, tag_name, text_behind, tokens
-from ..functions.text import default_symbol, normalize_ticker, squeeze
+from ..functions.markup import attribute, tag_name, text_behind, tokens
+from ..functions.text import default_symbol, given, normalize_ticker, squeeze
 from ..functions.urls import SITE_ROOT, joined_url
 from ..operators.news_dedup import first_by_key
 

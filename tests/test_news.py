@@ -384,3 +384,27 @@ def test_logo_candidates(spark):
         "https://icons.duckduckgo.com/ip3/www.bca.co.id.ico",
         "https://www.google.com/s2/favicons?domain_url=https%3A%2F%2Fwww.bca.co.id%2Fid&sz=128",
     ]
+
+
+def test_sentiment_and_blanks_of_odd_texts(spark):
+    import math
+    import re
+
+    texts = [None, "", " ", "naik  turun", "NAIK2naik_naik", "İnaik Knaik", "naik  rugi\t\n naik", "a b  c \u0085 d", "​naik　", "laba-rugi rugi rugi"]
+    data = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    plus, minus = ["naik", "laba"], ["rugi", "turun", "naik", "a1"]
+    got = {r.k: (r.s, r.q) for r in data.select("k", T.lexicon_sentiment(F.col("t"), plus, minus).alias("s"), T.squeeze(F.col("t")).alias("q")).collect()}
+    blank = "[ \\t-\\r\\x1C-\\x1F\\x85   -     　]+"
+    for k, t in enumerate(texts):
+        if t is None:
+            assert got[k] == (None, None)
+            continue
+        words = [w.lower() for w in re.findall("[a-zA-Z]+", t)]
+        votes = sum(w in plus or -(w in minus) for w in words)
+        assert got[k][0] == (max(-1.0, min(1.0, votes / math.sqrt(len(words)))) if votes else 0.0)
+        assert got[k][1] == re.sub(blank, " ", t).strip(" ")
+
+
+def test_sentiment_does_no_work_word_by_word():
+    text = str(T.lexicon_sentiment(F.col("t")))
+    assert "reduce" not in text and "aggregate" not in text
