@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,48 @@ def test_no_series_is_shuffled_to_its_pairs(rows, blocks):
     assert got == {pair: (len(at), day(at[0]), day(at[-1])) for pair, at in common.items()}
 
 
+@pytest.mark.parametrize("strip,cells,look", [(1152, 4_000_000, 65_536), (5, 4_000_000, 3), (1152, 200, 7)])
+def test_strips_of_blocks_give_every_pair_once(monkeypatch, strip, cells, look):
+    for name, value in (("STRIP", strip), ("STRIP_CELLS", cells), ("CELLS", look)):
+        monkeypatch.setattr(C, name, value)
+    rng = np.random.default_rng(9)
+    held = {f"T{k:02}": {int(d): float(rng.normal()) for d in np.sort(rng.choice(75, 50, replace=False)) + 9000} for k in range(23)}
+    # a block of every second series, and of the rest
+    sides = [sorted(held)[k::2] for k in (0, 1)]
+    series = pa.array([[{"ticker": t, "days": list(held[t]), "rs": list(held[t].values())} for t in side] for side in sides],
+                      pa.list_(pa.struct([("ticker", pa.string()), ("days", pa.list_(pa.int32())), ("rs", pa.list_(pa.float64()))])))
+    flat = list(C._flat([pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), series], names=["block", "held"])]))
+    one, other = (C._Block(b.column(1)[0], True) for b in flat)
+    run = C._correlated(20, 0.05)
+    found = [r for pair in ((one, one), (one, other), (other, one), (other, other)) for batch in C._block_rows(*pair, run) for r in batch.to_pylist()]
+    got = {(r["source_ticker"], r["target_ticker"]): r for r in found}
+    across = [(r["source_ticker"] in sides[0]) != (r["target_ticker"] in sides[0]) for r in found]
+    assert len(found) == len(got) + sum(across) / 2  # read from both ends, pairs across come twice
+    frame = pd.DataFrame({t: pd.Series(v) for t, v in held.items()})
+    want = {(a, b): frame[[a, b]].dropna() for a in frame for b in frame if a < b}
+    want = {pair: both for pair, both in want.items() if len(both) >= 20 and abs(both.iloc[:, 0].corr(both.iloc[:, 1])) >= 0.05}
+    assert set(got) == set(want) and len(want) > 100
+    for pair, both in want.items():
+        r = got[pair]
+        assert r["r"] == pytest.approx(both.iloc[:, 0].corr(both.iloc[:, 1]), abs=1e-12) and r["observations"] == len(both)
+        assert [r["first_date"], r["last_date"]] == [D(1970, 1, 1) + dt.timedelta(days=int(d)) for d in (both.index.min(), both.index.max())]
+
+
+def test_blocks_grow_with_the_series_up_to_a_bound_of_returns():
+    assert C._dealt(0, 0)[0] == C._dealt(100, 60_000)[0] == C.MIN_BLOCKS
+    blocks, files = C._dealt(360_000, 190_000_000)
+    # every pair of blocks reads two of them, so the reading falls with their number
+    assert blocks <= 180 and files == C.MOST_FILES
+    assert C._dealt(20_000, 20_000 * 9_000)[0] >= 20_000 * 9_000 / C.BLOCK_RETURNS
+    assert C._dealt(500_000, 4_500_000_000)[1] >= 450
+
+
+def test_bars_without_a_ticker_have_no_edges(rows):
+    data = [(t, day(i), float(c)) for t in ("AAA", None, "BBB") for i, c in enumerate([100, 110, 132, 120])]
+    edges = C.return_correlations(rows(data, "ticker string, date date, close double"), 2, 0.0, ticker_blocks=1)
+    assert [(e.source_ticker, e.target_ticker) for e in edges.collect()] == [("AAA", "BBB")]
+
+
 def test_edges_outside_the_scope_stay(rows, spark):
     fresh = C.return_correlations(closes(rows, {"AAA": [100, 110, 132], "BBB": [200, 220, 264]}), 2)
     old = fresh.select(*[F.lit("OLD").alias(c) if c == "source_ticker" else F.col(c) for c in fresh.columns]).unionByName(
